@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, token_store, toxicity
+from . import chat, mixing, ngram_join, quality, token_store, toxicity
 from .common import table
 from .sql import ORACLE_SQL as ORACLE_SQL
 
@@ -37,3 +37,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op3_chat_formatting, op6_token_output, op8_quality_rules, op10_toxicity)}
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_links(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+QUERIES |= {f.__name__: f for f in (op9_ngram_join,)}

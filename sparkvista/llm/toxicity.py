@@ -1,4 +1,4 @@
-"""Toxicity: a classifier chain of linear models on the presence of words.
+"""Toxicity: a classifier chain of linear models on the presence of words and stems.
 
 Categories are predicted one after the other. The model of a category also reads the probabilities of all
 earlier ones; in training these are out-of-fold predictions, so that a later model sees probabilities as
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the models are fitted on at most (those with the least hash of their text), folds,
 #: features by category, and the probability from which a document is toxic.
-MAX_LABELLED, FOLDS, FEATURES, THRESHOLD = 6_000, 5, 192, 0.5
+MAX_LABELLED, FOLDS, FEATURES, THRESHOLD = 6_000, 5, 224, 0.5
+#: Letters in a stem.
+STEMS = (4, 5, 6)
 #: The chain, each category with a rule that derives its label from the labels of a row. The last decides.
 CHAIN = ("low_quality", "toxic_prose", "toxic")
 
@@ -27,7 +29,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    """The distinct words of a text, and the stems that one, two or three of its words begin with."""
+    found = set(_WORD.findall((text or "").lower()))
+    stems = Counter([w[:k] for k in STEMS for w in found if len(w) > k])
+    return found | {f"{s}{'*' * min(n, 3)}" for s, n in stems.items()} | {f"{s}*" for s, n in stems.items() if n > 1} | {f"{s}**" for s, n in stems.items() if n > 2}
 
 
 @dataclass(frozen=True)
@@ -48,7 +53,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 15) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -59,7 +64,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int =
         bend = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(bend, slope)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -139,7 +144,7 @@ def _score(chain: list[Link], limit: float) -> Callable[[Iterator[pa.RecordBatch
         for batch in batches:
             for k in range(0, batch.num_rows, 1_000):
                 part = batch.slice(k, 1_000)
-                p = predict(chain, [every.intersection(_WORD.findall((t or "").lower())) for t in part.column("__text").to_pylist()])
+                p = predict(chain, [every & words_of(t) for t in part.column("__text").to_pylist()])
                 kept = [part.column(n) for n in part.schema.names if n != "__text"]
                 names = [n for n in part.schema.names if n != "__text"]
                 out = [pa.array(p[:, i]) for i in range(len(chain))] + [pa.array(p[:, -1] >= limit)]
