@@ -41,6 +41,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only_keys(df: DataFrame, keys: DataFrame, on: list[str], most: int = 1_000_000) -> DataFrame:
+    """df without rows whose key isn't in `keys`, where there are few enough keys to send them to every executor.
+
+    keys must be a table that is cheap to read twice, such as one from materialize(). They are counted first;
+    beyond `most` rows df comes back as it is, for the join that follows to shuffle both sides.
+    """
+    if keys.limit(most + 1).count() > most:
+        return df
+    return df.join(F.broadcast(keys.select(*on).distinct()), on, "left_semi")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

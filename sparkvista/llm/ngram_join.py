@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, materialize, small_batches
+from .common import joined_bytes, materialize, only_keys, small_batches
 from .hashing import changes, components, grouped, mix, ngram_hashes, word_hashes
 
 SIZE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
@@ -205,8 +205,9 @@ def ngram_links(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
     families = family.join(sizes, "root").join(classes.select(F.col("cls").alias("node"), "copies", "first_id"), "node")
     families = families.select(F.col("node").alias("cls"), F.col("root").alias("family"), "members", "copies", "first_id")
     # one row of each class: copies that share their id too are told apart by nothing, and one of them is used
-    wanted = families.withColumn("at", F.coalesce("first_id", F.lit(-(1 << 63)))).drop("first_id")
-    found = texts.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id").join(wanted, ["cls", "at"])
+    wanted = materialize(families.withColumn("at", F.coalesce("first_id", F.lit(-(1 << 63)))).drop("first_id"), "families")
+    found = texts.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id")
+    found = only_keys(found, wanted, ["cls", "at"]).join(wanted, ["cls", "at"])
     blocks = block_pairs(found, F.col("members"), FAMILY_BLOCK).select("family", "p", "q", "own", "cls", "copies", "text")
     blocks = blocks.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
     linked = materialize(blocks.mapInArrow(_set_links(size, threshold), "cls binary, links long, root binary"), "links")
