@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, ngram_join, quality, token_store, toxicity
+from . import chat, mixing, ngram_join, quality, suffix_dedup, token_store, toxicity
 from .common import table
 from .sql import ORACLE_SQL as ORACLE_SQL
 
@@ -44,3 +44,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op9_ngram_join,)}
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op2_suffix_dedup,)}
