@@ -52,6 +52,11 @@ def only_keys(df: DataFrame, keys: DataFrame, on: list[str], most: int = 1_000_0
     return df.join(F.broadcast(keys.select(*on).distinct()), on, "left_semi")
 
 
+def small_join(df: DataFrame, small: DataFrame, on: list[str], how: str, most: int = 1_000_000) -> DataFrame:
+    """df joined with a materialized table, which is sent to every executor only if it has at most `most` rows."""
+    return df.join(small if small.limit(most + 1).count() > most else F.broadcast(small), on, how)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

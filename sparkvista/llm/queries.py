@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, ngram_join, quality, suffix_dedup, token_store, toxicity
-from .common import table
+from . import chat, decontamination, mixing, ngram_join, quality, sharding, suffix_dedup, token_store, toxicity
+from .common import fresh_dir, table
 from .sql import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,18 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op2_suffix_dedup,)}
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
+
+
+QUERIES |= {f.__name__: f for f in (op5_decontamination,)}
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.shard_arrivals(table(spark, sf_dir, "documents"), fresh_dir(spark, "shards"))
+    return store.read_with_shards().selectExpr("doc_id", "n_chars", "xxhash64(text) as text_hash", "shard_no", "shard_rows", "version")
+
+
+QUERIES |= {f.__name__: f for f in (op4_sharding,)}
