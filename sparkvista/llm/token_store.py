@@ -15,14 +15,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, small_batches
+from .common import fresh_dir, materialize, small_batches
 
-#: Encoded pieces that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Odd pieces that a worker remembers before it starts anew, plain pieces that pass the model at once, and
+#: bytes of text in which pieces are told apart.
+REMEMBERED, JOINED, TEXTS = 50_000, 500, 10 << 20
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1_000
 
 
@@ -32,36 +34,109 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Letters whose class is the same for Python and for the library; pieces of such letters, digits and ASCII
+#: signs, without apostrophes and "<", on one line or more; and what the public pattern of this vocabulary's
+#: pre-tokenizer makes of them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f"
+_PLAIN = re.compile(f"[{_LETTERS}!-&(-;=-~]+(?:\\n[{_LETTERS}!-&(-;=-~]+)*")
+_TOKEN = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s")
+
+
 class PieceEncoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library, remembering the ids of pieces.
+    """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece of a batch once.
 
     A byte-level pre-tokenizer starts a new token at every single blank between two characters that aren't
     white space. So a text is cut there, each distinct piece is encoded once by the library, and its ids are
-    joined. Texts with two white-space characters in a row or other doubtful ones are encoded whole.
+    joined. Plain pieces go to the library's model, many at a time: where no id of the vocabulary spans two
+    tokens of the pre-tokenizer, which is checked, their ids begin with a blank and join nothing else. Other
+    pieces pass the library's whole chain, and texts with other blanks are encoded whole.
     """
 
-    _whole = re.compile(r"\s\s|[^\S \n]|^ | $|<\|")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if self._whole.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        if new := list({p for pieces in cut if pieces for p in pieces if p not in known}):
-            known.update(zip(new, self._encode(new), strict=True))
-        whole = iter(self._encode([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        self.known: dict[str, np.ndarray | None] = {}
+        show = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.table: dict[int, str] = {}  # the library's own character for each byte
+        for c in [*range(0x800), *range(0x800, 0xD800, 0x40), *range(0x10000, 0x110000, 0x1000)]:
+            self.table.update(zip(chr(c).encode(), "".join(w for w, _ in show(chr(c))), strict=True))
+        back = {ord(c): b for b, c in self.table.items()}
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.plain = True
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            text = bytes(back[ord(c)] for c in token if ord(c) in back).decode("utf-8", "replace")
+            self.opens[i] = text.startswith(" ")
+            if text.strip() and "'" not in text and all(_PLAIN.fullmatch(x) for x in text.split()) and len(_TOKEN.findall(text)) > 1:
+                self.plain = False
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _odd(self, piece: str) -> np.ndarray | None:
+        """The ids of a blank and a piece that isn't plain; None where its neighbours in the text may matter."""
+        if piece not in self.known:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            self.known[piece] = None if not piece or piece[0].isspace() or piece[-1].isspace() or "<|" in piece else self._whole(f" {piece}")
+        return self.known[piece]
+
+    def _pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct pieces, each after a blank: all ids, where each piece's begin, and how many (-1: doubtful)."""
+        fast = np.zeros(len(distinct), bool)
+        if self.plain:
+            fast = pc.match_substring_regex(distinct, f"^(?:{_PLAIN.pattern})$").to_numpy(zero_copy_only=False)
+        plain = distinct.filter(pa.array(fast))
+        cuts = pa.array(np.append(np.arange(0, len(plain), JOINED), len(plain)).astype(np.int32))
+        ids: list[int] = []
+        for some in pc.binary_join(pa.ListArray.from_arrays(cuts, plain), " ").to_pylist():
+            ids += [t.id for t in self.tokenizer.model.tokenize(f" {some}".encode().decode("latin-1").translate(self.table))]
+        flat = np.array(ids, "<u4")
+        place, size = np.zeros(len(distinct), np.int64), np.full(len(distinct), -1, np.int64)
+        starts = np.flatnonzero(self.opens[flat])
+        place[fast], size[fast] = starts, np.diff(np.append(starts, len(flat)))
+        more, at = [flat], len(flat)
+        for k in np.flatnonzero(~fast):
+            if (found := self._odd(distinct[k].as_py())) is not None:
+                place[k], size[k] = at, len(found)
+                more.append(found)
+                at += len(found)
+        return np.concatenate(more), place, size
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by end_id, in one array, and the offsets of the texts."""
+        texts = texts.fill_null("")
+        pieces = pc.split_pattern(texts, " ")
+        starts, coded = pieces.offsets.to_numpy().astype(np.int64), pieces.values.dictionary_encode()
+        starts, entry = starts - starts[0], coded.indices.to_numpy().astype(np.int32)
+        flat, place, size = self._pieces(coded.dictionary)
+
+        # a row's first piece has no blank before it; rows with doubtful pieces are encoded whole, in its place
+        rows, first = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts)), starts[:-1]
+        bad = size[entry] < 0
+        heads = coded.dictionary.take(pa.array(entry[first])).to_pylist()
+        bad[first] = [not h and n > 1 or h[:1].isspace() or h[-1:].isspace() for h, n in zip(heads, np.diff(starts), strict=True)]
+        whole = np.zeros(len(texts), bool)
+        whole[rows[bad]] = True
+        head_ids = [self._whole(texts[k].as_py() if w else h) for k, (h, w) in enumerate(zip(heads, whole, strict=True))]
+        head_size = np.array([len(x) for x in head_ids], np.int64)
+        entry[first] = len(place) + np.arange(len(texts), dtype=np.int32)
+        place, size = np.concatenate([place, len(flat) + np.cumsum(head_size) - head_size]), np.concatenate([size, head_size])
+        flat = np.concatenate([flat, *head_ids])
+        if whole.any():
+            stays = ~whole[rows]
+            stays[first] = True
+            entry, rows = entry[stays], rows[stays]
+
+        count = size[entry].astype(np.int32)
+        before = np.cumsum(count) - count
+        total = int(count.sum())
+        out = np.full(total + len(texts), end_id, "<u4")
+        at = np.arange(total, dtype=np.int32)
+        out[at + np.repeat(rows, count)] = flat[at + np.repeat((place[entry] - before).astype(np.int32), count)]
+        ends = np.bincount(rows, count, len(texts)).astype(np.int64) + 1
+        return out, np.concatenate([[0], np.cumsum(ends)])
 
 
 @cache
@@ -71,13 +146,10 @@ def encoder(path: str) -> PieceEncoder:
 
 def _encode(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in small_batches(batches, "text", 4 << 20):
-            ids = [x + end for x in encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(offsets).astype(np.int64))], ["doc_id", "ids", "n_tokens"])
+        for batch in small_batches(batches, "text", TEXTS):
+            ids, offsets = encoder(path).encode(batch.column("text"), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(offsets))], ["doc_id", "ids", "n_tokens"])
 
     return run
 
@@ -90,9 +162,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     are ordered by their text and all kept. An empty table gives a folder without rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id", F.coalesce(F.length("text"), F.lit(0))).sortWithinPartitions("doc_id", F.length("text"), "text")
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
     coded = rows.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), "doc_id long, ids array<int>, n_tokens long")
-    coded.write.option("orc.compress", "ZSTD").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.row.index.stride", str(INDEX_ROWS)).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
+    coded.write.option("orc.compress", "SNAPPY").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.row.index.stride", str(INDEX_ROWS)).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -120,7 +192,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     adds the rows before it in its own file. Nothing is gathered beyond one file's ids and counts.
     """
     rows = read_tokens(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
-    rows = rows.mapInArrow(_sums, "doc_id long, file string, at long, n_tokens long, ids_crc32 long")
+    rows = materialize(rows.mapInArrow(_sums, "doc_id long, file string, at long, n_tokens long, ids_crc32 long"), "digests")
     part = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.coalesce(F.sum("n_tokens").over(W.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
