@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, materialize, only_keys, small_batches
+from .common import joined_bytes, materialize, only_keys, small_batches, small_join
 from .hashing import changes, components, grouped, mix, ngram_hashes, word_hashes
 
 SIZE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
@@ -164,14 +164,17 @@ def connected(edges: DataFrame) -> DataFrame:
     Labels move along edges and are then looked up at each other, so that chains shrink by halves; each round
     is a table in the shared folder. Only a count of changes comes to the driver.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "edges")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialize(both.distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        jump = labels.select(F.col("node").alias("via"), F.col("root").alias("beyond"))
-        step = step.join(jump, step["root"] == jump["via"], "left").select("node", "old", F.least("root", F.coalesce("beyond", "root")).alias("root"))
+        far = labels.select(F.col("node").alias("b"), F.col("root").alias("far"))
+        own = labels.select(F.col("node").alias("a"), F.col("root").alias("old"))
+        # the label of a node is among those it is compared with, as an edge to itself
+        rows = small_join(both, far, ["b"], "inner").select("a", "far", F.lit(None).cast("binary").alias("old")).unionByName(own.select("a", F.col("old").alias("far"), "old"))
+        step = rows.groupBy("a").agg(F.min("far").alias("least"), F.max("old").alias("old"))
+        jump = labels.select(F.col("node").alias("least"), F.col("root").alias("beyond"))
+        step = small_join(step, jump, ["least"], "left").select(F.col("a").alias("node"), "old", F.least("least", F.coalesce("beyond", "least")).alias("root"))
         step = materialize(step, "labels")
         labels = step.select("node", "root")
         if step.filter("root <> old").isEmpty():
