@@ -14,16 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the models are fitted on at most (those with the least hash of their text), folds,
+from .common import materialize
+
+#: Labelled texts that the models are fitted on at most (those with the least hash), folds,
 #: features by category, and the probability from which a document is toxic.
 MAX_LABELLED, FOLDS, FEATURES, THRESHOLD = 6_000, 5, 224, 0.5
 #: Letters in a stem.
 STEMS = (4, 5, 6)
-#: The chain, each category with a rule that derives its label from the labels of a row. The last decides.
-CHAIN = ("low_quality", "toxic_prose", "toxic")
+#: The chain, each category with the rule that derives its label from the labels of a row. The last decides.
+CATEGORIES = {"low_quality": "quality <= 0", "toxic_prose": "toxic > 0 and quality > 0", "toxic": "toxic > 0"}
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -54,14 +56,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 15) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the bias."""
+    """Ridge logistic regression by Newton steps; the last weight is the bias. Rows of the rarer value weigh more."""
     x = np.hstack([x, np.ones((len(x), 1))])
+    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    mass = np.where(y > 0, max(1.0, ((1 - share) / share) ** 0.5), max(1.0, (share / (1 - share)) ** 0.5))
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-4
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        slope = x.T @ (p - y) + penalty * w
-        bend = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
+        slope = x.T @ (mass * (p - y)) + penalty * w
+        bend = (x * (mass * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-4:
@@ -122,20 +126,74 @@ def predict(chain: list[Link], rows: list[set[str]]) -> np.ndarray:
     return out
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[set[str]], dict[str, np.ndarray], np.ndarray]:
-    """At most `most` distinct labelled texts, chosen by a hash, with the labels of CHAIN and their folds."""
+def sample_texts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(at, text, and a column of 0 or 1 for each category) of at most `most` distinct labelled texts, a materialized table.
+
+    Those with the least hash of their text are chosen, by ids and hashes alone; only their texts move.
+    """
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")).filter("doc_id is not null and toxic is not null")
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).join(marks, "doc_id")
-    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", F.coalesce("quality", F.lit(1)).alias("quality"))
-    at: Column = F.xxhash64("text")
-    chosen = rows.select("text", "toxic", "quality", at.alias("at")).orderBy("at", "toxic", "quality").limit(most).collect()
-    seen: dict[int, tuple] = {}
-    for r in chosen:
-        seen.setdefault(r["at"], (words_of(r["text"]), int(r["toxic"] > 0), int(r["quality"] > 0)))
-    found = [x[0] for x in seen.values()]
-    toxic, good = (np.array([x[k] for x in seen.values()], float) for k in (1, 2))
-    folds = np.array([k % FOLDS for k in seen], int)
-    return found, {"low_quality": 1 - good, "toxic_prose": toxic * good, "toxic": toxic}, folds
+    texts = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).withColumn("at", F.xxhash64("text"))
+    first = F.min(F.struct("toxic", F.coalesce("quality", F.lit(1)).alias("quality"), "doc_id")).alias("first")
+    chosen = texts.select("doc_id", "at").join(marks, "doc_id").groupBy("at").agg(first).orderBy("at").limit(most)
+    chosen = materialize(chosen.select("at", "first.*"), "chosen")
+    # `most` rows of four numbers
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "at"]).dropDuplicates(["at"])
+    return materialize(rows.select("at", "text", *[F.expr(f"int({rule})").alias(name) for name, rule in CATEGORIES.items()]), "sample")
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each word and stem of a partition of the sample: the texts that have it, and those of each category."""
+    every: dict[str, list[int]] = {}
+    for batch in batches:
+        marks = list(zip(*(batch.column(name).to_pylist() for name in CATEGORIES), strict=True))
+        for text, mark in zip(batch.column("text").to_pylist(), marks, strict=True):
+            for w in words_of(text):
+                row = every.setdefault(w, [0] * (len(mark) + 1))
+                row[0] += 1
+                for k, yes in enumerate(mark):
+                    row[k + 1] += yes
+    columns = [pa.array(every.keys(), pa.string()), *(pa.array([r[k] for r in every.values()], pa.int64()) for k in range(len(CATEGORIES) + 1))]
+    yield pa.RecordBatch.from_arrays(columns, ["word", "n", *CATEGORIES])
+
+
+def telling_words(sample: DataFrame, most: int) -> list[str]:
+    """The words whose presence tells most about a category, `most` for each, as pick_words() ranks them."""
+    counts = sample.mapInArrow(_count_words, "word string, n long, " + ", ".join(f"{c} long" for c in CATEGORIES))
+    counts = materialize(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *CATEGORIES)]).filter("n >= 3"), "words")
+    totals = sample.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CATEGORIES]).first()
+    found: set[str] = set()
+    for c in CATEGORIES:
+        yes, no = max(1, totals[c]), max(1, totals["n"] - totals[c])
+        a, b = (F.col(c) + 0.5) / (yes + 1), (F.col("n") - F.col(c) + 0.5) / (no + 1)
+        gain = (a - b) * F.log(a / b) + (a - b) * F.log((1 - b) / (1 - a))
+        found |= {r["word"] for r in counts.orderBy(gain.desc(), "word").limit(most).collect()}
+    return sorted(found)
+
+
+def _presence_bits(words: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    place = {w: k for k, w in enumerate(words)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [place.keys() & words_of(t) for t in batch.column("text").to_pylist()]
+            bits = np.packbits(presence(rows, place).astype(bool), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("at"), *(batch.column(c) for c in CATEGORIES), pa.array([x.tobytes() for x in bits], pa.binary())], ["at", *CATEGORIES, "bits"])
+
+    return run
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int, features: int = FEATURES) -> tuple[list[set[str]], dict[str, np.ndarray], np.ndarray]:
+    """Which telling words each text of the sample has, the labels of all categories and the folds.
+
+    Texts stay on the executors: a bit for each telling word, and `most` rows at most, come to the driver.
+    """
+    sample = sample_texts(docs, labels, most)
+    words = telling_words(sample, features)
+    schema = "at long, " + ", ".join(f"{c} int" for c in CATEGORIES) + ", bits binary"
+    rows = sample.mapInArrow(_presence_bits(words), schema).orderBy("at").toArrow()
+    bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(words)) for x in rows["bits"].to_pylist()]
+    found = [{words[k] for k in np.flatnonzero(x)} for x in bits]
+    return found, {c: rows[c].to_numpy().astype(float) for c in CATEGORIES}, np.arange(len(found)) % FOLDS
 
 
 def _score(chain: list[Link], limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -156,7 +214,7 @@ def _score(chain: list[Link], limit: float) -> Callable[[Iterator[pa.RecordBatch
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of every row, with p_<category> for each link of the chain, and is_toxic.
 
-    Fitted on a sample of at most max_labelled labelled rows, chosen by a hash of the text; every row is
+    Fitted on a sample of at most max_labelled distinct labelled texts, chosen by their hash; every row is
     scored, without a shuffle, over its whole text. A null text counts as empty; rows whose id is null or
     repeated are scored like others; labels without a document, or with a null value, are left out, several
     labels of one document count as toxic if one is; without labels nothing is toxic; an empty table gives an
