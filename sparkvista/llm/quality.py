@@ -1,7 +1,8 @@
 """Quality rules: word and line statistics, and bands of the zstandard ratio.
 
-A text is compressed whole and in fixed chunks of its UTF-8 bytes. Text that repeats itself compresses
-far better than prose, noise far worse; both ratios must stay inside the band of the text's length.
+A text is compressed whole and in fixed chunks of its UTF-8 bytes, what is left after the last whole chunk
+included. Text that repeats itself compresses far better than prose, noise far worse; both ratios must stay
+inside the band of the text's length.
 """
 
 from __future__ import annotations
@@ -57,18 +58,37 @@ def duplicate_lines(raw: bytes) -> int:
     return found
 
 
+def chunks_of(raw: bytes) -> list[bytes]:
+    """All bytes of a text of CHUNK bytes or more, in chunks; a rest too short to be judged by itself ends the last one."""
+    starts = list(range(0, len(raw) - CHUNK + 1, CHUNK))
+    if not starts:
+        return []
+    if len(raw) - starts[-1] - CHUNK >= BANDS[1][0]:
+        starts.append(starts[-1] + CHUNK)
+    return [raw[k:to] for k, to in zip(starts, [*starts[1:], len(raw)], strict=True)]
+
+
+def is_bad_chunk(chunk: bytes, pack: zstandard.ZstdCompressor) -> bool:
+    """Whether a chunk's ratio is outside the chunk limits; a shorter one may reach the greatest ratio of its length."""
+    high = CHUNK_HIGH if len(chunk) >= CHUNK else _band(len(chunk))[1]
+    return not CHUNK_LOW <= len(pack.compress(chunk)) / len(chunk) <= high
+
+
 def ratios(raw: bytes, pack: zstandard.ZstdCompressor) -> tuple[float, float]:
     """The ratio of the whole text, and the share of chunks with a ratio outside the chunk limits."""
     if not raw:
         return 1.0, 0.0
     whole = len(pack.compress(raw)) / len(raw)
-    chunks = [raw[k : k + CHUNK] for k in range(0, len(raw) - CHUNK + 1, CHUNK)]
-    bad = sum(not CHUNK_LOW <= len(pack.compress(c)) / CHUNK <= CHUNK_HIGH for c in chunks)
-    return whole, bad / len(chunks) if chunks else 0.0
+    chunks = chunks_of(raw)
+    return whole, sum(is_bad_chunk(c, pack) for c in chunks) / len(chunks) if chunks else 0.0
+
+
+def _band(n_bytes: int) -> tuple[float, float]:
+    return next((lo, hi) for least, lo, hi in reversed(BANDS) if n_bytes >= least)
 
 
 def in_band(n_bytes: int, ratio: float, bad_share: float) -> bool:
-    low, high = next((lo, hi) for least, lo, hi in reversed(BANDS) if n_bytes >= least)
+    low, high = _band(n_bytes)
     return low <= ratio <= high and bad_share <= BAD_SHARE
 
 

@@ -50,6 +50,17 @@ def test_quality_bands(spark, make_docs):
     assert got[2].kept and not got[3].base_failed and not got[3].kept
 
 
+def test_quality_reads_the_end_of_a_text(spark, make_docs):
+    prose = max((r.text for r in table(spark, SF, "documents").collect() if quality.in_band(len(r.text.encode()), 0.5, 0)), key=len).encode()
+    start, phrase = prose[: quality.CHUNK], b"the very same phrase again and again "
+    rows = [(k, (start + tail).decode("utf-8", "ignore"), "a") for k, tail in enumerate((b"", phrase * 27, phrase * 35, b" x", prose[quality.CHUNK : 2 * quality.CHUNK - 40]))]
+    got = {r.doc_id: r.bad_chunk_share for r in quality.quality_rules(make_docs(rows)).collect()}
+    assert got == {0: 0, 1: 0.5, 2: 0.5, 3: 0, 4: 0}
+    for n in (0, 1, 2_047, 2_048, 2_049, 2_111, 2_112, 4_095, 4_096, 5_000):
+        raw = bytes(k % 251 for k in range(n))
+        assert b"".join(quality.chunks_of(raw)) == (raw if n >= quality.CHUNK else b"")
+
+
 def test_token_files_round_trip(spark, make_docs, tmp_path):
     from tokenizers import Tokenizer
 
