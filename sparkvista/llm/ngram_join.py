@@ -182,13 +182,14 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def ngram_links(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, cls, class_id, n_links) of every row of docs.
+    """(doc_id, cls, class_id, root, n_links) of every row of docs.
 
     Words are runs between ASCII white space, taken as they are; two rows are linked if the Jaccard
     coefficient of their sets of `size`-word n-grams is at least threshold (a text of fewer words has one
     n-gram of them all). n_links counts the other rows a row is linked to, copies included. class_id is the
     least doc_id among the rows that links connect it with, itself included (null: none of them has an id);
-    cls is the MD5 of the text. Rows without words, null texts included, have no links and are classes by
+    cls is the MD5 of the text, and root the least cls among those rows: it tells classes apart where ids are null
+    or repeated. Rows without words, null texts included, have no links and are classes by
     themselves. Repeated rows are copies of each other; other columns of docs are ignored; an empty table
     gives an empty result. A pair at the threshold is found with probability `recall`, a closer one with more.
     """
@@ -220,9 +221,9 @@ def ngram_links(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
     groups = classes.select("cls", "copies", "first_id").join(links, "cls", "left").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     groups = materialize(groups.select("cls", "copies", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root")), "groups")
     ids = groups.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    groups = groups.join(ids, "root").select("cls", "copies", "links", "class_id", F.lit(True).alias("__has"))
+    groups = groups.join(ids, "root").select("cls", "root", "copies", "links", "class_id", F.lit(True).alias("__has"))
     out = marks.select("doc_id", "cls").join(groups, "cls", "left")
-    return out.select("doc_id", "cls", F.when(F.col("__has"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "cls", F.when(F.col("__has"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("root", "cls").alias("root"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -232,8 +233,8 @@ def keep_one(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, re
     choice is a minimum by group, combined before it is shuffled; texts are not moved to make it.
     """
     links = ngram_links(docs, size, threshold, recall).filter("n_links > 0")
-    first = links.groupBy("class_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "cls")).alias("stays"))
-    gone = links.join(first, links["class_id"].eqNullSafe(first["class_id"])).filter((F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)) != F.col("stays.doc_id")) | (F.col("cls") != F.col("stays.cls")))
+    first = links.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "cls")).alias("stays"))
+    gone = links.join(first, "root").filter((F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)) != F.col("stays.doc_id")) | (F.col("cls") != F.col("stays.cls")))
     gone = gone.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("cls").alias("__cls")).distinct()
     rows = docs.withColumn("__id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("__cls", class_key(docs["text"])).join(gone, ["__id", "__cls"], "left_anti")
     # copies that share their id as well

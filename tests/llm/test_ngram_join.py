@@ -77,6 +77,14 @@ def test_odd_rows(spark, make_docs):
     assert ngram_join.ngram_links(make_docs([])).count() == 0 and ngram_join.keep_one(make_docs([])).count() == 0
 
 
+def test_keep_one_of_each_group_without_distinct_ids(spark, make_docs):
+    first, second, third, fourth = (list(near_copies(4, edits=1, seed=seed)) for seed in (11, 12, 13, 14))
+    rows = [(None, t, "a") for t in first + second] + [(1, third[0], "a"), (2, third[1], "a"), (3, third[2], "a"), (1, fourth[0], "a"), (4, fourth[1], "a")]
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(make_docs(rows)).collect()]
+    assert [sum(t in group for _, t in kept) for group in (first, second, third, fourth)] == [1, 1, 1, 1]
+    assert {(1, third[0]), (1, fourth[0])} <= set(kept)
+
+
 def test_bands_meet_the_recall():
     for t in (0.5, 0.8, 0.9):
         b, r = ngram_join.bands_for(t, 0.999, 128)
