@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame expressions only.
 
-Numbers, units after numbers and names become typed placeholders; what remains is lower case. Windows of
-these tokens are joined by their hash with those of the benchmark. Matches on one diagonal (place in the
-document less place in the item) are one passage; it counts if the tokens really agree and its slots are
-consistent: wherever the item repeats a number or name, the document repeats the one it has there.
+Numbers, units after numbers and capitalised words become typed placeholders; what remains is lower case.
+Windows of these tokens, and of the plain words, are joined by their hash with those of the benchmark. Matches
+on one diagonal (place in the document less place in the item) are one passage; it counts if the tokens really
+agree and its slots are consistent: wherever the item repeats a number or name, the document repeats the one it
+has there. A window of more slots than words counts only as an exact copy.
 """
 
 from __future__ import annotations
@@ -16,23 +17,25 @@ from .common import materialize, only_keys, small_join
 #: Tokens in a window, and windows of a passage that make a leak: 6 windows of 8 cover 13 tokens. Shorter items
 #: need all their windows; items of fewer tokens than LEAST are never matched.
 WINDOW, HITS, LEAST = 8, 6, 4
-#: Windows with a smaller share of plain tokens say too little.
+#: Windows with a smaller share of plain tokens say too little, unless their numbers and names agree as well.
 PLAIN = 0.5
 #: Windows of the benchmark that are sent to every executor; a larger benchmark is joined by a shuffle.
 BROADCAST = 500_000
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "ton", "tons", "pound", "pounds", "ounce", "ounces", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "degree", "degrees", "mph", "kmh", "watt", "watts", "volt", "volts")
+#: Every capitalised word, whatever stands before it; and those inside a sentence, which are surely names.
+_CAPITAL, _INSIDE = "\\p{Lu}(?<![\\p{L}\\p{N}].)\\p{Ll}+", "\\p{Lu}(?<=[\\p{Ll},;:] .)\\p{Ll}+"
 _CUT = f"[^\\p{{L}}\\p{{N}}{NUMBER}{UNIT}{NAME}]+"
 
 
-def tokens(text: Column) -> tuple[Column, Column]:
+def tokens(text: Column, name: str = _CAPITAL) -> tuple[Column, Column]:
     """(plain tokens in lower case, template tokens) of a text: two arrays of one length."""
     text = F.coalesce(text, F.lit(""))
     # 1,234.5 is one number, 5kg a number and a unit
     joined = F.regexp_replace(F.regexp_replace(text, "(?<=\\p{N})[.,](?=\\p{N})", ""), "(?<=\\p{N})(?=\\p{L})", " ")
     has = text.rlike("\\p{N}")
     plain = F.when(has, joined).otherwise(text)
-    named = F.regexp_replace(plain, "\\p{Lu}(?<=[\\p{Ll},;:] .)\\p{Ll}+", NAME)
+    named = F.regexp_replace(plain, name, NAME)
     units = "|".join(UNITS)
     numbers = F.regexp_replace(F.regexp_replace(named, "\\p{N}+", NUMBER), f"(?<={NUMBER} )(?i:{units})(?![\\p{{L}}\\p{{N}}])", UNIT)
     cut = lambda c: F.filter(F.split(F.lower(c), _CUT), lambda x: x != "")
@@ -55,19 +58,35 @@ def _is_slot(token: Column) -> Column:
     return token.isin(NUMBER, UNIT, NAME)
 
 
+def _all_windows(column: Column) -> Column:
+    """window_hashes() of the size that each item has."""
+    by_size = window_hashes(column, WINDOW)
+    for size in range(LEAST, WINDOW):
+        by_size = F.when(F.col("size") == size, window_hashes(column, size)).otherwise(by_size)
+    return by_size
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item, ids, plain, template, size, need, ipos, hash): a row for each telling window of each distinct item text."""
+    """(item, ids, plain, template, inside, size, need, whole, telling, ipos, hashes): a row for each window of each distinct item text.
+
+    A window has the hash of its plain words; a telling one also those of its templates: with each capitalised
+    word as a name, with those inside a sentence only, and with the item's first word as a name, as a document
+    may begin a sentence there. `need` telling windows, or `whole` windows of any kind, make a leak.
+    """
     items = benchmark.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    plain, template = tokens(F.col("text"))
-    items = items.select(F.md5("text").alias("item"), "ids", plain.alias("plain"), template.alias("template")).filter(F.size("template") >= LEAST)
+    (plain, template), (_, inside) = tokens(F.col("text")), tokens(F.col("text"), _INSIDE)
+    items = items.select(F.md5("text").alias("item"), "ids", plain.alias("plain"), template.alias("template"), inside.alias("inside")).filter(F.size("template") >= LEAST)
     items = items.withColumn("size", F.least(F.size("template"), F.lit(WINDOW)))
-    by_size = window_hashes(F.col("template"), WINDOW)
-    for size in range(LEAST, WINDOW):
-        by_size = F.when(F.col("size") == size, window_hashes(F.col("template"), size)).otherwise(by_size)
-    rows = items.select("*", F.posexplode(by_size).alias("ipos", "hash"))
-    slots = F.size(F.filter(F.slice("template", F.col("ipos") + 1, F.col("size")), _is_slot))
-    rows = rows.filter(slots <= F.col("size") * (1 - PLAIN))
-    count = rows.groupBy("item").agg(F.least(F.count(F.lit(1)), F.lit(HITS)).alias("need"))
+    begun = lambda c: F.concat(F.array(F.lit(NAME)), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))))
+    views = ("plain", "template", "inside", "begun")
+    items = items.withColumn("begun", begun(F.col("inside")))
+    rows = items.withColumn("w", F.arrays_zip(*[_all_windows(F.col(v)).alias(v) for v in views]))
+    rows = rows.drop("begun").select(*[c for c in items.columns if c != "begun"], F.posexplode("w").alias("ipos", "w"))
+    slots = F.size(F.filter(F.slice("inside", F.col("ipos") + 1, F.col("size")), _is_slot))
+    telling = slots <= F.col("size") * (1 - PLAIN)
+    hashes = F.when(telling, F.array_distinct(F.array(*[F.col(f"w.{v}") for v in views]))).otherwise(F.array("w.plain"))
+    rows = rows.withColumn("telling", telling).withColumn("hashes", hashes).drop("w")
+    count = rows.groupBy("item").agg(F.least(F.count_if("telling"), F.lit(HITS)).alias("need"), F.least(F.count(F.lit(1)), F.lit(HITS)).alias("whole"))
     return materialize(rows.join(count, "item"), "windows")
 
 
@@ -75,34 +94,47 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(cls, items, n_windows): the texts that hold a passage of the benchmark, by their MD5; a materialized table."""
     windows = benchmark_windows(benchmark)
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # WINDOW - LEAST + 1 values at most
-    small = windows.limit(BROADCAST + 1).count() <= BROADCAST
-    probe = windows.select("hash", "size", "item", "ipos")
+    probe = windows.select(F.explode("hashes").alias("hash"), "size", "item", "ipos")
+    small = probe.limit(BROADCAST + 1).count() <= BROADCAST
     texts = docs.select(F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("cls"), docs["text"].alias("text"))
-    _, template = tokens(F.col("text"))
+    plain, template = tokens(F.col("text"))
     found = None
     for size in sizes or [WINDOW]:
-        rows = texts.select("cls", template.alias("template")).select("cls", F.posexplode(window_hashes(F.col("template"), size)).alias("dpos", "hash"))
+        views = texts.select("cls", plain.alias("plain"), template.alias("template"))
+        rows = views.select("cls", F.posexplode(F.arrays_zip(window_hashes(F.col("plain"), size).alias("p"), window_hashes(F.col("template"), size).alias("t"))).alias("dpos", "w"))
+        rows = rows.select("cls", "dpos", F.explode(F.array_distinct(F.array("w.p", "w.t"))).alias("hash"))
         own = probe.filter(F.col("size") == size).drop("size")
         hits = rows.join(F.broadcast(own) if small else own, "hash").select("cls", "item", "ipos", "dpos")
         found = hits if found is None else found.unionByName(hits)
     # the windows of a passage are fewer than its item's; copies of a text give the same rows
     passages = found.withColumn("diagonal", F.col("dpos") - F.col("ipos")).groupBy("cls", "item", "diagonal").agg(F.collect_set("ipos").alias("at"))
-    items = windows.groupBy("item").agg(F.first("ids").alias("ids"), F.first("plain").alias("plain"), F.first("template").alias("template"), F.first("size").alias("size"), F.first("need").alias("need"))
-    passages = materialize(small_join(passages, materialize(items, "items"), ["item"], "inner", BROADCAST).filter(F.size("at") >= F.col("need")), "passages")
+    items = windows.groupBy("item").agg(F.first("ids").alias("ids"), F.first("plain").alias("plain"), F.first("template").alias("template"), F.first("inside").alias("inside"), F.first("size").alias("size"), F.first("need").alias("need"), F.first("whole").alias("whole"), F.collect_set(F.when(F.col("telling"), F.col("ipos"))).alias("telling"))
+    passages = materialize(small_join(passages, materialize(items, "items"), ["item"], "inner", BROADCAST).filter(F.size("at") >= F.when(F.col("need") > 0, F.col("need")).otherwise(F.col("whole"))), "passages")
 
     wanted = passages.select("cls").distinct()
     plain, template = tokens(F.col("text"))
     said = only_keys(texts, passages, ["cls"]).join(materialize(wanted, "wanted"), "cls").groupBy("cls").agg(F.first("text").alias("text"))
     said = said.select("cls", plain.alias("said"), template.alias("shape"))
     rows = passages.join(said, "cls")
-    # exact: the tokens of each window, not only their hashes
-    same = F.filter("at", lambda i: F.slice("template", i + 1, F.col("size")) == F.slice("shape", i + F.col("diagonal") + 1, F.col("size")))
-    rows = rows.withColumn("at", same)
+    # exact: the tokens of each window, not only their hashes; each agrees as a word or as a slot of its kind
+    def token(column: str, k: Column) -> Column:
+        return F.element_at(column, (k + 1).cast("int"))
+
+    def same(i: Column) -> Column:
+        there = i + F.col("diagonal")
+        word = F.slice("plain", i + 1, F.col("size")) == F.slice("said", there + 1, F.col("size"))
+        agree = F.forall(F.sequence(i, i + F.col("size") - 1), lambda k: (token("plain", k) == token("said", k + F.col("diagonal"))) | (token("template", k) == token("shape", k + F.col("diagonal"))))
+        return word | (F.array_contains("telling", i) & agree)
+
+    rows = rows.withColumn("at", F.filter("at", same))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + F.col("size") - 1))))
     slots = F.filter(covered, lambda k: _is_slot(F.element_at("template", (k + 1).cast("int"))))
     pairs = F.array_distinct(F.transform(slots, lambda k: F.struct(F.element_at("plain", (k + 1).cast("int")).alias("item"), F.element_at("said", (k + F.col("diagonal") + 1).cast("int")).alias("doc"))))
     consistent = F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"]))) == F.size(pairs)
-    good = rows.filter((F.size("at") >= F.col("need")) & consistent)
+    # a few words say too little to take what only begins a sentence ("What") for a name
+    first = F.forall(slots, lambda k: (F.col("size") == WINDOW) | _is_slot(token("inside", k)) | (token("plain", k) == token("said", k + F.col("diagonal"))))
+    enough = ((F.col("need") > 0) & (F.size(F.array_intersect("at", "telling")) >= F.col("need"))) | (F.size("at") >= F.col("whole"))
+    good = rows.filter(enough & consistent & first)
     return materialize(good.groupBy("cls").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.sum(F.size("at")).cast("long").alias("n_windows")), "leaks")
 
 
@@ -110,7 +142,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with contaminated, items (sorted ids of the benchmark) and n_windows (windows that match).
 
     A text is contaminated if HITS windows of one item (all of a shorter one) stand in it in line, with
-    consistent slots. Null texts are empty; equal texts, repeated rows and null ids are judged alike; items
+    consistent slots. Windows of more slots than words (sums, dates, lists of names) count as exact copies only,
+    and are not needed where others are found. Null texts are empty; equal texts, repeated rows and null ids are judged alike; items
     that are null or of fewer than LEAST tokens match nothing, items with one text share it, null item ids are
     left out of items; an empty benchmark or table is no error. docs needs text, benchmark item_id and text;
     other columns come back, but for those that have one of the three names above.

@@ -61,6 +61,29 @@ def test_templates_and_slots(spark, make_docs):
     assert d.find_leaks(make_docs([]), bench).count() == 0
 
 
+SHORT = [
+    (1, "What is the tallest mountain in the whole wide world?"), (2, "Alice buys 5 pens and then she sells 2 of them"),
+    (3, "12 + 30 = 42, 7 * 8 = 56, 9 - 4 = 5"), (4, "12 March 1999, 3 April 2004"), (5, "Name Alice, Bob, Carol, Dave, Erin, Frank, Grace, Heidi"),
+    (6, "What is the capital?"), (7, "If Tom has 5 apples then he keeps 3 pears"), (8, "in total Tom has 5 apples, so he keeps 3"),
+]
+
+
+def test_short_items_inside_sentences_and_items_of_slots(spark, make_docs):
+    want = {
+        "Yesterday she asked me What is the tallest mountain in the whole wide world? I did not know": [1],
+        "question: what is the tallest mountain in the whole wide world": [1], "WHAT IS THE TALLEST MOUNTAIN IN THE WHOLE WIDE WORLD": [1],
+        "so Carol buys 7 pens and then she sells 3 of them": [2], "Carol buys 7 pens and then she sells 3 of them": [2],
+        "a sum: 12 + 30 = 42, 7 * 8 = 56, 9 - 4 = 5": [3], "a sum: 12 + 31 = 43, 7 * 8 = 56, 9 - 4 = 5": [],
+        "on 12 March 1999, 3 April 2004 it was": [4], "on 12 March 1999, 4 April 2004 it was": [],
+        "the list: Name Alice, Bob, Carol, Dave, Erin, Frank, Grace, Heidi.": [5], "the list: Name Alan, Bert, Chris, Doris, Ernst, Fritz, Gerda, Hans.": [],
+        "he said What is the capital? and left": [6], "Paris is the capital": [],
+        "so if Ann has 7 apples then he keeps 2 pears": [7], "he said If Ann has 7 apples then he keeps 2 pears": [7], "In total Ann has 7 apples, so he keeps 2": [8],
+    }
+    bench = spark.createDataFrame(SHORT, "item_id long, text string")
+    got = {r.text: r["items"] for r in d.find_leaks(make_docs([(k, t, "a") for k, t in enumerate(want)]), bench).collect()}
+    assert got == want
+
+
 def test_without_broadcast(spark, monkeypatch):
     docs, bench = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "benchmark")
     want = sorted((r.doc_id, r["items"]) for r in d.find_leaks(docs, bench).collect())
