@@ -22,7 +22,7 @@ from .hashing import changes, components, grouped, mix, ngram_hashes, word_hashe
 
 SIZE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Classes in a block of a bucket, and in a block of a family whose texts are compared.
-BUCKET_BLOCK, FAMILY_BLOCK = 1_024, 256
+BUCKET_BLOCK, FAMILY_BLOCK = 1_024, 512
 #: Signatures that agree in a smaller share belong to different families: over five standard deviations below THRESHOLD.
 SKETCH_LIMIT = 0.6
 
@@ -68,16 +68,40 @@ def _signatures(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.Recor
     return run
 
 
+def _block(members: Column, block: int, node: str = "cls") -> Column:
+    """The block, by a hash of its node, that a member of a group of `members` rows belongs to."""
+    return F.pmod(F.xxhash64(node), F.ceil(members / float(block))).cast("int")
+
+
 def block_pairs(df: DataFrame, members: Column, block: int, node: str = "cls") -> DataFrame:
     """A row for each pair of blocks (p, q), p <= q, that a member of a group of `members` rows belongs to, with `own`, its block."""
-    blocks = F.ceil(members / float(block)).cast("int")
-    own = F.pmod(F.xxhash64(node), blocks)
-    df = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return df.withColumn("p", F.least("own", "other").cast("int")).withColumn("q", F.greatest("own", "other").cast("int")).withColumn("own", F.col("own").cast("int")).drop("other")
+    df = df.withColumn("own", _block(members, block, node)).withColumn("other", F.explode(F.sequence(F.lit(0), (F.ceil(members / float(block)) - 1).cast("int"))))
+    return df.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other")
+
+
+def families(sketch: np.ndarray, least: int) -> np.ndarray:
+    """For each row the first row of its family: rows that chains of pairs with `least` equal bytes connect.
+
+    Each row is compared only with those that no family has yet, so that a family costs little more than its size.
+    """
+    first, rest = np.full(len(sketch), -1), np.arange(len(sketch))
+    for s in range(len(sketch)):
+        if first[s] >= 0:
+            continue
+        first[s], todo, rest = s, [s], rest[rest > s]
+        while todo and len(rest):
+            near = (sketch[rest] == sketch[todo.pop()]).sum(1) >= least
+            first[rest[near]] = s
+            todo.extend(rest[near])
+            rest = rest[~near]
+    return first
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Families inside buckets: an edge from each class to the first class of its family."""
+    """Families inside buckets: an edge from each class to the least class of its family.
+
+    A pair of two blocks puts out edges between families of the blocks only, as members have theirs from their own block.
+    """
     for table in grouped(batches, ["key", "p", "q"], 20_000):
         start = np.flatnonzero(changes(table, ["key", "p", "q"]))
         cls = np.array(table.column("cls").to_pylist(), object)
@@ -101,13 +125,18 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             b.append(i + shift)
         for g in np.flatnonzero(~small):
             at = np.arange(start[g], start[g] + size[g])
-            left, right = (at[own[at] == own[at[0]]], at[own[at] != own[at[0]]]) if across[g] else (at, at)
+            if not across[g]:
+                a.append(at)
+                b.append(at[families(sketch[at], least)])
+                continue
+            left, right = at[own[at] == own[at[0]]], at[own[at] != own[at[0]]]
+            home = [x[families(sketch[x], least)] for x in (left, right)]
             for k in range(0, len(left), 32):
                 i, j = np.nonzero((sketch[left[k : k + 32], None] == sketch[None, right]).sum(2) >= least)
-                a.append(left[k : k + 32][i])
-                b.append(right[j])
+                a.append(home[0][k : k + 32][i])
+                b.append(home[1][j])
         a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a, b))
-        root = components(len(cls), a, b)
+        root = components(len(cls), a, b)  # rows of a group are in order of cls, so that the first is the least
         out = np.flatnonzero(root != np.arange(len(cls)))
         yield pa.RecordBatch.from_arrays([pa.array(cls[out], pa.binary()), pa.array(cls[root[out]], pa.binary())], ["a", "b"])
 
@@ -123,17 +152,24 @@ def _set_links(size: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch
 
 
 def _links_of(group: pa.Table, size: int, threshold: float) -> pa.RecordBatch:
-    """Links inside one pair of blocks: for each class the documents linked to it, and the root of its links."""
+    """Links inside one block, or between two: for each class the documents linked to it, and an edge (a, b).
+
+    Inside a block the edge leads from the class to the least one that links connect it with. Between blocks it
+    leads from the class's least one in its own block, `home`, to the least of those that the two blocks connect.
+    """
     cls, first = np.unique(np.array(group.column("cls").to_pylist(), object), return_index=True)
     group = group.take(first)
-    grams, at = ngram_hashes(*word_hashes(*joined_bytes(group.column("text").combine_chunks() if not isinstance(group.column("text").combine_chunks(), pa.ChunkedArray) else pa.concat_arrays(group.column("text").chunks))), size)
+    grams, at = ngram_hashes(*word_hashes(*joined_bytes(pa.concat_arrays(group.column("text").chunks))), size)
     copies, own = group.column("copies").to_numpy(), group.column("own").to_numpy()
     sets = [np.unique(grams[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
     counts = np.array([len(s) for s in sets], np.float64)
     same = group.column("p")[0].as_py() == group.column("q")[0].as_py()
     left = np.arange(len(cls)) if same else np.flatnonzero(own == own.min())
     right = left if same else np.flatnonzero(own != own.min())
-    links, root = np.zeros(len(cls), np.int64), np.arange(len(cls))
+    links, root, home = np.zeros(len(cls), np.int64), np.arange(len(cls)), cls
+    if not same:
+        home, place = np.unique(np.array(group.column("home").to_pylist(), object), return_inverse=True)
+        root = np.arange(len(home))
     if len(left) and len(right):
         _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(cls)), [len(s) for s in sets])
@@ -152,10 +188,14 @@ def _links_of(group: pa.Table, size: int, threshold: float) -> pa.RecordBatch:
             np.fill_diagonal(linked, False)
         i, j = np.nonzero(linked)
         np.add.at(links, left[i], copies[right[j]])
-        if not same:
+        if same:
+            root = components(len(cls), i, j)
+        else:
             np.add.at(links, right[j], copies[left[i]])
-        root = components(len(cls), left[i], right[j])
-    return pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(links), pa.array(cls[root], pa.binary())], ["cls", "links", "root"])
+            root = components(len(home), place[left[i]], place[right[j]])
+    if same:
+        return pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(links), pa.array(cls, pa.binary()), pa.array(cls[root], pa.binary())], ["cls", "links", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(links), pa.array(home[place], pa.binary()), pa.array(home[root[place]], pa.binary())], ["cls", "links", "a", "b"])
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -181,6 +221,11 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _linked(rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    rows = rows.select("family", "p", "q", "own", "cls", "home", "copies", "text").repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
+    return rows.mapInArrow(_set_links(size, threshold), "cls binary, links long, a binary, b binary")
+
+
 def ngram_links(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, cls, class_id, root, n_links) of every row of docs.
 
@@ -202,7 +247,7 @@ def ngram_links(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
     keys = classes.select("cls", F.explode("bands").alias("key"))
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = block_pairs(keys.join(often, "key").join(classes.select("cls", "sketch"), "cls"), F.col("members"), BUCKET_BLOCK)
-    buckets = buckets.select("key", "p", "q", "own", "cls", "sketch").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    buckets = buckets.select("key", "p", "q", "own", "cls", "sketch").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "cls")
     family = connected(buckets.mapInArrow(_bucket_edges, "a binary, b binary"))
 
     sizes = family.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
@@ -212,11 +257,16 @@ def ngram_links(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
     wanted = materialize(families.withColumn("at", F.coalesce("first_id", F.lit(-(1 << 63)))).drop("first_id"), "families")
     found = texts.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id")
     found = only_keys(found, wanted, ["cls", "at"]).join(wanted, ["cls", "at"])
-    blocks = block_pairs(found, F.col("members"), FAMILY_BLOCK).select("family", "p", "q", "own", "cls", "copies", "text")
-    blocks = blocks.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
-    linked = materialize(blocks.mapInArrow(_set_links(size, threshold), "cls binary, links long, root binary"), "links")
-
-    roots = connected(linked.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    found = materialize(found.select("family", "members", "cls", "copies", "text"), "candidates")
+    alone = found.withColumn("own", _block(F.col("members"), FAMILY_BLOCK)).withColumns({"p": F.col("own"), "q": F.col("own"), "home": F.lit(None).cast("binary")})
+    linked = materialize(_linked(alone, size, threshold), "links")
+    wide = found.filter(F.col("members") > FAMILY_BLOCK)
+    if not wide.isEmpty():
+        homes = linked.select("cls", F.col("b").alias("home"))
+        pairs = block_pairs(wide.join(homes, "cls"), F.col("members"), FAMILY_BLOCK).filter("p <> q")
+        linked = linked.unionByName(materialize(_linked(pairs, size, threshold), "links"))
+
+    roots = connected(linked.filter("a <> b").select("a", "b"))
     links = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     groups = classes.select("cls", "copies", "first_id").join(links, "cls", "left").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     groups = materialize(groups.select("cls", "copies", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root")), "groups")

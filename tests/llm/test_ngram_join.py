@@ -2,10 +2,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from sparkvista.llm import ngram_join
 from sparkvista.llm.common import table
+from sparkvista.llm.hashing import components
 
 
 def grams(text, n=5):
@@ -89,3 +91,33 @@ def test_bands_meet_the_recall():
     for t in (0.5, 0.8, 0.9):
         b, r = ngram_join.bands_for(t, 0.999, 128)
         assert b * r <= 128 and 1 - (1 - t**r) ** b >= 0.999
+
+
+def test_edges_grow_with_the_group_not_its_square(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 100)
+    monkeypatch.setattr(ngram_join, "FAMILY_BLOCK", 100)
+    counts, whole = [], ngram_join.connected
+
+    def counted(edges):
+        counts[-1].append(edges.distinct().count())
+        return whole(edges)
+
+    monkeypatch.setattr(ngram_join, "connected", counted)
+    for m in (400, 1_200):
+        counts.append([])
+        rows = [(k, t, "a") for k, t in enumerate(near_copies(m, words=60, edits=1))]
+        assert {r.class_id for r in ngram_join.ngram_links(make_docs(rows)).collect()} == {0}
+    assert all(b <= 3.7 * a for a, b in zip(*counts, strict=True)), counts  # thrice the members
+
+
+def test_families_are_chains_of_near_sketches():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, (3, 40)).astype(np.uint8)
+    rows = np.concatenate([np.repeat(x[None], 15, 0) for x in base])
+    for r in rows:
+        r[rng.integers(0, 40, 9)] = rng.integers(0, 256, 9)
+    rows = rows[rng.permutation(len(rows))]
+    near = (rows[:, None] == rows[None]).sum(2) >= 24
+    i, j = np.nonzero(near)
+    assert (ngram_join.families(rows, 24) == components(len(rows), i, j)).all()
+    assert len(ngram_join.families(rows[:0], 24)) == 0
