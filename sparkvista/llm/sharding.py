@@ -3,7 +3,8 @@
 Arrivals are appended as small immutable shards, one for each task that writes, without a shuffle. Shards of
 similar size form a tier; a tier with enough of them is merged, in one Spark job, into files of about the
 target size. What a reader sees is a manifest, a numbered file that a commit puts in place by one rename that
-fails if the number is taken. Old versions stay readable until vacuum().
+fails if the number is taken; the writer that comes second commits after the first. Old versions stay readable
+until vacuum().
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Bytes of a finished shard, shards of a tier that start a merge, bytes up to which a shard is of the lowest tier.
 TARGET, FANOUT, SMALL = 64 << 20, 4, 8 << 20
+#: Seconds for which vacuum() spares files that no version names: a week.
+GRACE_S = 7 * 86_400.0
 
 
 class CommitConflict(RuntimeError):
@@ -127,25 +131,58 @@ class ShardStore:
 
     # -- writing
 
+    def _publish(self, change: Callable[[Manifest], Sequence[Shard] | None], schema: str | None = None) -> Manifest | None:
+        """Commits change(the last version), anew each time another writer has been faster; None if change() gives it up."""
+        while True:
+            base = self.manifest()
+            shards = change(base)
+            if shards is None:
+                return None
+            try:
+                return self._commit(base, schema or base.schema, shards)
+            except CommitConflict:
+                continue
+
     def _written(self, folder: str) -> list[Shard]:
-        """The shards in a folder that a job has written, with their rows from the files' footers."""
-        sizes = dict((n, b) for n, b in self._list(folder) if n.endswith(".parquet"))
+        """The shards below a folder that a job has written, with their rows from the files' footers."""
+        sizes = {f"{folder}/{n}": b for n, b in self._list(folder) if n.endswith(".parquet")}
+        for inner, _ in self._list(folder):
+            if "=" in inner:
+                sizes |= {f"{folder}/{inner}/{n}": b for n, b in self._list(f"{folder}/{inner}") if n.endswith(".parquet")}
         if not sizes:
             return []
-        files = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(F.col("_metadata.file_name").alias("file")).count()
+        files = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(_shard_path().alias("file")).count()
         rows = {r["file"]: r["count"] for r in files.collect()}
-        return [Shard(f"{folder}/{n}", rows[n], b) for n, b in sorted(sizes.items()) if rows.get(n)]
+        return [Shard(n, rows[n], b) for n, b in sorted(sizes.items()) if rows.get(n)]
+
+    def stage(self, df: DataFrame, part: Column | None = None) -> dict[int, list[Shard]]:
+        """Writes the rows of df as small shards that no version has yet, by the number of their part (0 without parts).
+
+        One scan and no shuffle; every writing task makes one shard of each part. add() commits them. What is
+        never committed stays invisible, and goes with vacuum() after a time of grace.
+        """
+        folder = f"data/{uuid.uuid4().hex}"
+        out = df if part is None else df.withColumn("__part", part)
+        out.write.option("compression", "zstd").partitionBy(*([] if part is None else ["__part"])).parquet(f"{self.path}/{folder}")
+        found: dict[int, list[Shard]] = {}
+        for s in self._written(folder):
+            m = re.search(r"/__part=(\d+)/", s.path)
+            found.setdefault(int(m[1]) if m else 0, []).append(s)
+        return found
+
+    def add(self, shards: Sequence[Shard], schema: T.StructType) -> Manifest:
+        """Commits staged shards as the next version, after those of other writers."""
+        return self._publish(lambda m: [*m.shards, *shards], schema.json())
 
     def append(self, df: DataFrame) -> Manifest:
         """Adds the rows of df: every writing task makes one small shard. An empty df adds a version without one."""
-        base, folder = self.manifest(), f"data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        return self._commit(base, df.schema.json(), [*base.shards, *self._written(folder)])
+        return self.add(self.stage(df).get(0, []), df.schema)
 
     def compact(self) -> Manifest:
         """Merges the tiers that are full, all in one job, and commits; without such tiers nothing changes.
 
-        Each group of shards becomes one file, written by one task, and holds no more than the target's bytes.
+        Each group of shards becomes one file, written by a task of its own, and holds no more than the target's
+        bytes. If another writer has merged one of the shards meanwhile, this merge is given up and its files go.
         """
         base = self.manifest()
         groups = merge_groups(base.shards, self.target, self.fanout, self.small)
@@ -156,26 +193,45 @@ class ShardStore:
         # names of files, far fewer than rows: a broadcast of the plan that the manifest holds anyway
         names = self.spark.createDataFrame([(p, k) for p, k in where.items()], "__file string, __group int")
         rows = self._open(where, base.schema).withColumn("__file", _shard_path()).join(F.broadcast(names), "__file").drop("__file")
-        rows.repartition(len(groups), "__group").write.option("compression", "zstd").partitionBy("__group").parquet(f"{self.path}/{folder}")
-        merged = [s for k in range(len(groups)) for s in self._written(f"{folder}/__group={k}")]
-        return self._commit(base, base.schema, [*(s for s in base.shards if s.path not in where), *merged])
+        rows.repartitionById(len(groups), F.col("__group")).write.option("compression", "zstd").partitionBy("__group").parquet(f"{self.path}/{folder}")
+        merged = self._written(folder)
+
+        def change(m: Manifest) -> list[Shard] | None:
+            return [*(s for s in m.shards if s.path not in where), *merged] if where.keys() <= {s.path for s in m.shards} else None
+
+        new = self._publish(change)
+        if new is None:
+            self._fs.delete(self._path(folder), True)
+        return new or self.manifest()
 
     def settle(self) -> Manifest:
         """Compacts until no tier is full; every merge leaves fewer shards, so this ends."""
-        while (before := self.version()) < self.compact().version:
-            pass
-        return self.manifest(before)
+        while merge_groups((before := self.manifest()).shards, self.target, self.fanout, self.small):
+            self.compact()
+        return before
 
-    def vacuum(self) -> int:
-        """Deletes folders and files that the last version doesn't use; returns how many files went."""
-        used, gone = {s.path for s in self.manifest().shards}, 0
+    def vacuum(self, keep: int = 1, grace_s: float = GRACE_S) -> int:
+        """Gives up all versions but the last `keep`: their manifests go, and the shards that no kept version names.
+
+        Files that no version names at all may belong to a writer that hasn't committed yet; they go only
+        grace_s seconds after they were written. Returns how many data files went.
+        """
+        last, gone = self.version(), 0
+        found = sorted(int(m[1]) for n, _ in self._list("manifest") if (m := re.fullmatch(r"v(\d+)\.json", n)))
+        old, kept = [v for v in found if v <= last - keep], [v for v in found if v > last - keep]
+        used = {s.path for v in kept for s in self.manifest(v).shards}
+        known = {s.path for v in old for s in self.manifest(v).shards}
+        for v in old:
+            self._fs.delete(self._path(f"manifest/v{v:010d}.json"), False)
+        now = time.time() * 1000
         for run, _ in self._list("data"):
-            inner = [f"data/{run}/{n}" for n, _ in self._list(f"data/{run}")]
-            files = [p for p in inner if p.endswith(".parquet")] + [f"{p}/{n}" for p in inner if "__group=" in p for n, _ in self._list(p) if n.endswith(".parquet")]
-            for p in files:
-                if p not in used:
-                    self._fs.delete(self._path(p), False)
-                    gone += 1
+            inner = [n for n, _ in self._list(f"data/{run}")]
+            for folder in [f"data/{run}", *(f"data/{run}/{n}" for n in inner if "=" in n)]:
+                for status in self._fs.listStatus(self._path(folder)):
+                    p = f"{folder}/{status.getPath().getName()}"
+                    if p.endswith(".parquet") and p not in used and (p in known or now - status.getModificationTime() > grace_s * 1000):
+                        self._fs.delete(self._path(p), False)
+                        gone += 1
         return gone
 
     # -- reading
@@ -202,15 +258,17 @@ class ShardStore:
 
 
 def shard_arrivals(docs: DataFrame, path: str, arrivals: int = 4, target: int = TARGET, fanout: int = FANOUT, small: int = SMALL, clean: bool = True) -> ShardStore:
-    """Appends docs in `arrivals` parts, dealt by a hash of all columns' id, and compacts after each.
+    """Appends docs in `arrivals` parts, dealt by a hash of their id, and compacts after each; docs is read once.
 
-    Every row lands in exactly one shard, with all its columns (their names may be any but __file and
-    __group); nulls, empty and very long texts, repeated rows and ties are kept as they are. An empty table
-    makes a store with a schema and no shards. With clean, files that no current shard uses are deleted.
+    Every row lands in exactly one shard, with all its columns (their names may be any but __file, __group and
+    __part); nulls, empty and very long texts, repeated rows and ties are kept as they are. An empty table
+    makes a store with a schema and no shards. With clean, only the last version is kept after each arrival;
+    without, all stay readable.
     """
     store = ShardStore(docs.sparkSession, path, target, fanout, small)
+    staged = store.stage(docs, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)).cast("int"))
     for k in range(arrivals):
-        store.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
+        store.add(staged.get(k, []), docs.schema)
         store.settle()
         if clean:
             store.vacuum()

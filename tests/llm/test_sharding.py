@@ -41,6 +41,50 @@ def test_versions_and_conflicts(spark, make_docs, tmp_path):
     assert store.vacuum() == 2 and store.read().count() == len(ROWS)
 
 
+def test_vacuum_spares_an_append_that_is_not_committed_yet(spark, make_docs, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), fanout=2)
+    store.append(make_docs(ROWS[:3]).coalesce(1))
+    store.append(make_docs(ROWS[3:5]).coalesce(1))
+    late = make_docs(ROWS[5:])
+    staged = store.stage(late)[0]
+    store.compact()
+    assert store.vacuum(keep=2) == 0 and store.read(2).count() == 5
+    assert store.vacuum() == 2  # the two that the merge has replaced
+    store.add(staged, late.schema)
+    assert Counter(map(tuple, store.read().collect())) == Counter(map(tuple, make_docs(ROWS).collect()))
+    lost = store.stage(late)[0]
+    assert store.vacuum() == 0 and store.vacuum(grace_s=-1) == len(lost) and store.read().count() == len(ROWS)
+
+
+def test_writers_that_meet_both_commit(spark, make_docs, tmp_path, monkeypatch):
+    one, other = (sharding.ShardStore(spark, str(tmp_path / "s"), fanout=2) for _ in range(2))
+    docs, commit, rivals = make_docs(ROWS[:4]).coalesce(1), sharding.ShardStore._commit, []
+
+    def slow(self, *args):
+        if self is one and rivals:
+            rivals.pop()()
+        return commit(self, *args)
+
+    monkeypatch.setattr(sharding.ShardStore, "_commit", slow)
+    rivals.append(lambda: other.append(docs))
+    assert one.append(docs).version == 2 and one.read().count() == 8
+    rivals.append(lambda: other.append(docs))  # an append while shards are merged
+    assert one.compact().version == 4 and one.read().count() == 12 and len(one.manifest().shards) == 2
+    rivals.append(lambda: other.compact())  # the same merge
+    assert one.compact().version == 5 and one.read().count() == 12 and len(one.manifest().shards) == 1
+    assert len([p for p in (tmp_path / "s" / "data").iterdir()]) == 5  # three appends, and a merge for each of two commits
+
+
+def test_one_scan_and_one_task_for_each_group(spark, make_docs, tmp_path):
+    docs = make_docs([(k, f"text {k} " * 50, "a") for k in range(400)]).repartition(8)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target=12_000, small=2_000)
+    store.add([s for part in store.stage(docs, docs["doc_id"].cast("int") % 3).values() for s in part], docs.schema)
+    groups = sharding.merge_groups(store.manifest().shards, 12_000, 4, 2_000)
+    assert len(groups) > 3
+    left = len(store.manifest().shards) - sum(map(len, groups))
+    assert len(store.compact().shards) == left + len(groups) and store.read().count() == 400
+
+
 def test_merge_groups():
     s = lambda n, b: sharding.Shard(f"s{n}", 1, b)
     small = [s(k, 10) for k in range(9)]
