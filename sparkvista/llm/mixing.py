@@ -22,9 +22,10 @@ WEIGHTS, SHARE, MAX_EPOCHS, BINS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 512, "mix"
 GOOD, POOR, UNKNOWN = 2.0, 0.5, 1.0
 
 
-def draw(id_col: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) from the id: 52 bits of an MD5, the same in every run and every engine."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(f"|{seed}"))), 1, 13), 16, 10)
+def draw(id_col: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) from id and text: 52 bits of an MD5, the same in every run and every engine."""
+    whole = F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(f"|{seed}|"), F.md5(F.coalesce(text, F.lit(""))))
+    bits = F.conv(F.substring(F.md5(whole), 1, 13), 16, 10)
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
@@ -62,15 +63,15 @@ def source_tag() -> Column:
 
 
 def keyed(docs: DataFrame, labels: DataFrame | None, seed: str = SEED) -> DataFrame:
-    """docs with __size, __key and __bin: the sampling key, and 1 - exp(-key), which grows with it in [0, 1]."""
-    rows = docs.withColumn("__size", word_count(docs["text"]))
+    """__doc (all columns of docs), doc_id, source, __s, __size, __key and __bin: the sampling key, and 1 - exp(-key), which grows with it in [0, 1]."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "source", source_tag().alias("__s"), word_count(docs["text"]).alias("__size"), draw(docs["doc_id"], docs["text"], seed).alias("__u"))
     if labels is None:
         rows = rows.withColumn("__w", F.lit(UNKNOWN))
     else:
         marks = quality_weights(labels).select(F.col("weight_id").alias("__id"), F.col("weight").alias("__weight"))
         rows = rows.join(marks, rows["doc_id"] == marks["__id"], "left").withColumn("__w", F.coalesce("__weight", F.lit(UNKNOWN))).drop("__id", "__weight")
-    rows = rows.withColumn("__key", -F.log(draw(F.col("doc_id"), seed)) / F.col("__w"))
-    return rows.withColumn("__bin", 1 - F.exp(-F.col("__key"))).drop("__w")
+    rows = rows.withColumn("__key", -F.log("__u") / F.col("__w"))
+    return rows.withColumn("__bin", 1 - F.exp(-F.col("__key"))).drop("__w", "__u")
 
 
 def _end_bin(rows: DataFrame, bins: DataFrame, bin_col: Column) -> DataFrame:
@@ -99,32 +100,59 @@ def mix_plan(rows: DataFrame, targets: DataFrame, bins: int = BINS) -> DataFrame
     order = W.partitionBy("__s").orderBy("__key", F.col("doc_id").asc_nulls_first(), "__size").rowsBetween(W.unboundedPreceding, -1)
     last = last.withColumn("before", F.coalesce(F.sum("__size").over(order), F.lit(0)))
     # a row is taken if the room ends past its middle, so that the sum comes as near the target as whole rows allow
-    cut = last.filter(F.col("before") + F.col("__size") / 2 <= F.col("room")).groupBy("__s").agg(F.max(F.struct("__key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "__size")).alias("cut"))
+    last = materialize(last.select("__s", "room", "before", "__size", _place().alias("at")), "mix-order")
+    cut = last.filter(F.col("before") + F.col("__size") / 2 <= F.col("room")).groupBy("__s").agg(F.max("at").alias("cut"))
+    # rows that agree in key, id and size are copies: so many of them as fit are taken
+    ends = last.join(cut, "__s").filter(F.col("at") == F.col("cut")).groupBy("__s").agg(F.first("cut").alias("cut"), F.count(F.lit(1)).alias("copies"), F.count_if(F.col("before") + F.col("__size") / 2 <= F.col("room")).alias("taken"))
     one, two = one.select("__s", F.col("n").alias("n1")), two.select("__s", F.col("n").alias("n2"))
-    return materialize(plan.join(one, "__s", "left").join(two, "__s", "left").join(cut, "__s", "left"), "mix-plan")
+    plan = plan.join(one, "__s", "left").join(two, "__s", "left").join(ends, "__s", "left")
+    return materialize(plan.select("__s", F.struct(*[c for c in plan.columns if c != "__s"]).alias("__plan")), "mix-plan")
+
+
+def _place() -> Column:
+    return F.struct(F.col("__key").alias("key"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"), F.col("__size").alias("size"))
 
 
 def _is_sampled(bins: int) -> Column:
     first = F.floor(F.col("__bin") * bins).cast("int")
     second = F.floor((F.col("__bin") * bins - first) * bins).cast("int")
-    at = F.struct(F.col("__key"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"), F.col("__size"))
-    inside = F.col("n2").isNull() | (second < F.col("n2")) | ((second == F.col("n2")) & F.coalesce(at <= F.col("cut"), F.lit(False)))
-    return F.col("n1").isNull() | (first < F.col("n1")) | ((first == F.col("n1")) & inside)
+    p, at = F.col("__plan"), _place()
+    inside = F.coalesce((at < p["cut"]) | ((at == p["cut"]) & (F.col("__nth") <= p["taken"])), F.lit(False))
+    inside = p["n2"].isNull() | (second < p["n2"]) | ((second == p["n2"]) & inside)
+    return p["n1"].isNull() | (first < p["n1"]) | ((first == p["n1"]) & inside)
+
+
+def _numbered(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows joined with the plan, and with __nth: among copies of which only some are taken, the number of the row, else 0.
+
+    Such copies are numbered within their partitions, after the counts of the partitions before, so that no task
+    gathers them; which of them are taken makes no difference to the mix.
+    """
+    rows = rows.join(plan, "__s")
+    if plan.filter("__plan.taken < __plan.copies").isEmpty():
+        return rows.withColumn("__nth", F.lit(0).cast("long"))
+    tied = F.coalesce((F.col("__plan.taken") < F.col("__plan.copies")) & (_place() == F.col("__plan.cut")), F.lit(False))
+    some = materialize(rows.filter(tied).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "mix-copies")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("__s").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = some.groupBy("__s", "__part").agg(F.count(F.lit(1)).alias("n")).select("__s", "__part", before.alias("__before"))
+    some = some.withColumn("__own", F.row_number().over(W.partitionBy("__s", "__part").orderBy("__row"))).join(parts, ["__s", "__part"])
+    some = some.withColumn("__nth", (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__row", "__own", "__before")
+    return rows.filter(~tied).withColumn("__nth", F.lit(0).cast("long")).unionByName(some)
 
 
 def _planned(docs: DataFrame, labels: DataFrame | None, weights: tuple[float, ...], share: float, max_epochs: float, bins: int, seed: str) -> tuple[DataFrame, DataFrame]:
     """The measured rows (doc_id, source and sampling columns, no text), and the plan of each source."""
-    measured = keyed(docs.select("doc_id", "text", "source"), labels, seed).select("doc_id", "source", source_tag().alias("__s"), "__size", "__key", "__bin")
+    measured = keyed(docs.select("doc_id", "text", "source"), labels, seed).select("doc_id", "source", "__s", "__size", "__key", "__bin")
     measured = materialize(measured, "mix-sizes")
     sizes = measured.groupBy("source").agg(F.sum("__size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, max_epochs).withColumn("__s", source_tag()).drop("source"), "mix-targets")
     return measured, mix_plan(measured.drop("source"), targets, bins)
 
 
-def _taken(rows: DataFrame, plan: DataFrame, columns: list[str], bins: int) -> DataFrame:
-    repeats = F.col("epochs") + F.when(_is_sampled(bins), 1).otherwise(0)
-    out = [F.col(f"`{c}`") for c in columns]
-    return rows.join(plan, "__s").select(*out, F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * repeats).alias("taken"), repeats.alias("repeats"))
+def _taken(rows: DataFrame, plan: DataFrame, columns: list[Column], bins: int) -> DataFrame:
+    rows, p = _numbered(rows, plan), F.col("__plan")
+    repeats = p["epochs"] + F.when(_is_sampled(bins), 1).otherwise(0)
+    return rows.select(*columns, F.col("__size").alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), (F.col("__size") * repeats).alias("taken"), repeats.alias("repeats"))
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, bins: int = BINS, seed: str = SEED) -> DataFrame:
@@ -132,23 +160,23 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, weights: tuple
 
     Sources in order of their code points, null last, get `weights` in turn. taken is size * repeats; repeats
     is the number of complete epochs plus one for a sampled row. A null text has size 0; a null source is a
-    source; null and repeated ids draw by their id, so that equal rows have one order, and rows that share
-    key, id and size are taken or left together. A source of size 0 has target 0 and keeps its rows once. An
-    empty table gives an empty result. docs needs doc_id, text and source; its other columns come back, but
-    for those that have one of the five names above.
+    source; rows draw by id and text, null ids too. Rows that agree in both are copies: of those at the end of
+    the budget as many are taken as fit, any of them. A source of size 0 has target 0 and keeps its rows once. An
+    empty table gives an empty result. docs needs doc_id, text and source; its other columns come back, whatever
+    their names, but for those that have one of the five names above.
     """
     docs = docs.drop("size", "source_size", "target", "taken", "repeats")
     _, plan = _planned(docs, labels, weights, share, max_epochs, bins, seed)
-    return _taken(keyed(docs, labels, seed).withColumn("__s", source_tag()), plan, docs.columns, bins)
+    return _taken(keyed(docs, labels, seed), plan, [F.col(f"__doc.`{c}`") for c in docs.columns], bins)
 
 
 def mix_figures(docs: DataFrame, labels: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, bins: int = BINS, seed: str = SEED) -> DataFrame:
     """mix_sources() without the texts: doc_id, source and the five figures, from one pass over the texts."""
     measured, plan = _planned(docs, labels, weights, share, max_epochs, bins, seed)
-    return _taken(measured, plan, ["doc_id", "source"], bins)
+    return _taken(measured, plan, [F.col("doc_id"), F.col("source")], bins)
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
     """The mix itself: every row as often as the mix takes it, without the figures."""
-    rows = mixed.filter("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
-    return rows.drop("__copy", "size", "source_size", "target", "taken", "repeats")
+    columns = [F.col(f"`{c}`") for c in mixed.columns if c not in ("size", "source_size", "target", "taken", "repeats")]
+    return mixed.filter("repeats > 0").select(F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))), F.struct(*columns).alias("__doc")).select("__doc.*")

@@ -10,7 +10,7 @@ WITH marks AS (
   FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
 ), rows AS (
   SELECT d.doc_id, d.source, {_WORDS.replace('text', 'd.text')}::BIGINT AS size,
-    -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|mix'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+    -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|mix|' || md5(coalesce(d.text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
       / coalesce(m.weight, 1.0::DOUBLE) AS k
   FROM documents d LEFT JOIN marks m ON d.doc_id = m.doc_id
 ), sizes AS (

@@ -66,3 +66,18 @@ def test_odd_rows(spark, make_docs):
     assert {r.source_size for r in got if r.source is None} == {3} and all(r.taken <= 2 * r.size for r in got)
     assert all(r.taken == 0 and r.size == 0 for r in got if r.source == "a")
     assert mixing.mix_sources(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_null_and_repeated_ids_meet_their_targets(spark, make_docs, clash):
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"w{k} " + "w " * 9 if k < 3_000 else "ten words that are the same in all of them", "abc"[k % 3]) for k in range(6_000)]
+    docs = make_docs(rows)
+    if clash:  # names of the plan's own columns
+        docs = docs.selectExpr("*", "1 as epochs", "2 as room", "3 as cut", "4 as n1", "5 as n2", "6 as __size", "7 as __key", "8 as __s", "9 as copies", "10 as __nth")
+    for mixed in (mixing.mix_sources(docs, share=0.9), mixing.mix_figures(docs, share=0.9)):
+        got = mixed.groupBy("source").agg({"taken": "sum", "target": "max", "*": "count"}).collect()
+        assert len(got) == 3 and all(abs(r["sum(taken)"] - r["max(target)"]) <= 10 and r["count(1)"] == 2_000 for r in got), got
+    assert mixing.repeat_rows(mixing.mix_sources(docs, share=0.9)).columns == docs.drop("size").columns
+    same = make_docs([(None, "a b c d e f g h i j", "ab"[k % 2]) for k in range(1_000)])
+    got = mixing.mix_sources(same, share=0.7).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 5 for r in got), got
