@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -73,19 +74,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int =
     return w
 
 
-def pick_words(rows: list[set[str]], y: np.ndarray, most: int) -> list[str]:
-    """The words whose presence tells most about y: signed log-likelihood ratio, ties by the word."""
-    yes, no = Counter(), Counter()
-    for found, is_yes in zip(rows, y, strict=True):
-        (yes if is_yes else no).update(found)
-    n, m = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-
-    def gain(w: str) -> float:
-        a, b = (yes[w] + 0.5) / (n + 1), (no[w] + 0.5) / (m + 1)
-        return (a - b) * np.log(a / b) + (a - b) * np.log((1 - b) / (1 - a))
-
-    known = [w for w in {*yes, *no} if yes[w] + no[w] >= 3]
-    return sorted(known, key=lambda w: (-gain(w), w))[:most]
+def pick_words(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """The columns whose presence tells most about y, `most` at most: signed log-likelihood ratio, ties by place; each has three rows at least."""
+    yes, every, n, m = x[y > 0].sum(0).astype(float), x.sum(0).astype(float), max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    a, b = (yes + 0.5) / (n + 1), (every - yes + 0.5) / (m + 1)
+    gain = (a - b) * np.log(a / b) + (a - b) * np.log((1 - b) / (1 - a))
+    order = np.argsort(-gain, kind="stable")
+    return order[every[order] >= 3][:most]
 
 
 def presence(rows: list[set[str]], words: dict[str, int]) -> np.ndarray:
@@ -97,23 +92,27 @@ def presence(rows: list[set[str]], words: dict[str, int]) -> np.ndarray:
     return x
 
 
-def fit_chain(rows: list[set[str]], labels: dict[str, np.ndarray], folds: np.ndarray, features: int = FEATURES) -> list[Link]:
-    """The chain in the order of labels. A category with one value only gets a constant model."""
+def fit_chain(x: np.ndarray, words: list[str], labels: dict[str, np.ndarray], folds: np.ndarray, features: int = FEATURES) -> list[Link]:
+    """The chain in the order of labels, from the presence of words (a column each). A category with one value only gets a constant model.
+
+    What a later link reads of an earlier one in training is predicted by a model whose words and weights come
+    from the other folds alone.
+    """
     chain: list[Link] = []
-    earlier = np.zeros((len(rows), 0))
+    earlier = np.zeros((len(x), 0))
     for name, y in labels.items():
-        words = {w: k for k, w in enumerate(pick_words(rows, y, features))}
-        x = np.hstack([presence(rows, words), earlier])
-        out = np.full(len(rows), y.mean() if len(y) else 0.0)
+        out = np.full(len(x), y.mean() if len(y) else 0.0)
         for fold in np.unique(folds):
             train = folds != fold
             if train.any() and 0 < y[train].sum() < train.sum():
-                out[~train] = sigmoid(np.hstack([x[~train], np.ones(((~train).sum(), 1))]) @ fit_logistic(x[train], y[train]))
+                own = np.hstack([x[:, pick_words(x[train], y[train], features)], earlier])
+                out[~train] = sigmoid(np.hstack([own[~train], np.ones(((~train).sum(), 1))]) @ fit_logistic(own[train], y[train]))
+        top = pick_words(x, y, features)
         if len(y) and 0 < y.sum() < len(y):
-            w = fit_logistic(x, y)
+            w = fit_logistic(np.hstack([x[:, top], earlier]), y)
         else:
-            w = np.append(np.zeros(x.shape[1]), 30.0 if len(y) and y.all() else -30.0)
-        chain.append(Link(name, words, w[: len(words)], w[len(words) : -1], float(w[-1])))
+            w = np.append(np.zeros(len(top) + earlier.shape[1]), 30.0 if len(y) and y.all() else -30.0)
+        chain.append(Link(name, {words[c]: k for k, c in enumerate(top)}, w[: len(top)], w[len(top) : -1], float(w[-1])))
         earlier = np.hstack([earlier, out[:, None]])
     return chain
 
@@ -127,7 +126,7 @@ def predict(chain: list[Link], rows: list[set[str]]) -> np.ndarray:
 
 
 def sample_texts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(at, text, and a column of 0 or 1 for each category) of at most `most` distinct labelled texts, a materialized table.
+    """(at, text, fold, and a column of 0 or 1 for each category) of at most `most` distinct labelled texts, a materialized table.
 
     Those with the least hash of their text are chosen, by ids and hashes alone; only their texts move.
     """
@@ -138,36 +137,44 @@ def sample_texts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     chosen = materialize(chosen.select("at", "first.*"), "chosen")
     # `most` rows of four numbers
     rows = texts.join(F.broadcast(chosen), ["doc_id", "at"]).dropDuplicates(["at"])
-    return materialize(rows.select("at", "text", *[F.expr(f"int({rule})").alias(name) for name, rule in CATEGORIES.items()]), "sample")
+    return materialize(rows.select("at", "text", F.pmod("at", F.lit(FOLDS)).cast("int").alias("fold"), *[F.expr(f"int({rule})").alias(name) for name, rule in CATEGORIES.items()]), "sample")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word and stem of a partition of the sample: the texts that have it, and those of each category."""
-    every: dict[str, list[int]] = {}
+    """For each word and stem of a partition of the sample, by fold: the texts that have it, and those of each category."""
+    every: dict[tuple[str, int], list[int]] = {}
     for batch in batches:
         marks = list(zip(*(batch.column(name).to_pylist() for name in CATEGORIES), strict=True))
-        for text, mark in zip(batch.column("text").to_pylist(), marks, strict=True):
+        for text, fold, mark in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), marks, strict=True):
             for w in words_of(text):
-                row = every.setdefault(w, [0] * (len(mark) + 1))
+                row = every.setdefault((w, fold), [0] * (len(mark) + 1))
                 row[0] += 1
                 for k, yes in enumerate(mark):
                     row[k + 1] += yes
-    columns = [pa.array(every.keys(), pa.string()), *(pa.array([r[k] for r in every.values()], pa.int64()) for k in range(len(CATEGORIES) + 1))]
-    yield pa.RecordBatch.from_arrays(columns, ["word", "n", *CATEGORIES])
+    columns = [pa.array([w for w, _ in every], pa.string()), pa.array([f for _, f in every], pa.int32()), *(pa.array([r[k] for r in every.values()], pa.int64()) for k in range(len(CATEGORIES) + 1))]
+    yield pa.RecordBatch.from_arrays(columns, ["word", "fold", "n", *CATEGORIES])
 
 
 def telling_words(sample: DataFrame, most: int) -> list[str]:
-    """The words whose presence tells most about a category, `most` for each, as pick_words() ranks them."""
-    counts = sample.mapInArrow(_count_words, "word string, n long, " + ", ".join(f"{c} long" for c in CATEGORIES))
-    counts = materialize(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *CATEGORIES)]).filter("n >= 3"), "words")
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CATEGORIES]).first()
-    found: set[str] = set()
-    for c in CATEGORIES:
-        yes, no = max(1, totals[c]), max(1, totals["n"] - totals[c])
-        a, b = (F.col(c) + 0.5) / (yes + 1), (F.col("n") - F.col(c) + 0.5) / (no + 1)
-        gain = (a - b) * F.log(a / b) + (a - b) * F.log((1 - b) / (1 - a))
-        found |= {r["word"] for r in counts.orderBy(gain.desc(), "word").limit(most).collect()}
-    return sorted(found)
+    """The words whose presence tells most about a category, as pick_words() ranks them: `most` for each category, over all folds and without each."""
+    names = ["n", *CATEGORIES]
+    parts = [(-1, F.lit(True)), *((k, F.col("fold") != k) for k in range(FOLDS))]
+    counts = sample.mapInArrow(_count_words, "word string, fold int, n long, " + ", ".join(f"{c} long" for c in CATEGORIES))
+    one = lambda where, c: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    counts = materialize(counts.groupBy("word").agg(*[one(where, c).alias(f"{c}_{k}") for k, where in parts for c in names]).filter("`n_-1` >= 3"), "words")
+    total = sample.withColumn("n", F.lit(1)).agg(*[one(where, c).alias(f"{c}_{k}") for k, where in parts for c in names]).first()
+    gains = []
+    for k, _ in parts:
+        for c in CATEGORIES:
+            yes, no = max(1, total[f"{c}_{k}"]), max(1, total[f"n_{k}"] - total[f"{c}_{k}"])
+            some, every = F.col(f"`{c}_{k}`"), F.col(f"`n_{k}`")
+            a, b = (some + 0.5) / (yes + 1), (every - some + 0.5) / (no + 1)
+            gain = (a - b) * F.log(a / b) + (a - b) * F.log((1 - b) / (1 - a))
+            gains.append(F.struct(F.lit(f"{c}_{k}").alias("model"), F.when(every >= 3, gain).alias("gain")))
+    rows = counts.select("word", F.explode(F.array(*gains)).alias("x")).select("word", "x.*").filter("gain is not null")
+    # one of a few models by partition, over the words of a bounded sample; tasks keep their first ones before the shuffle
+    rank = F.row_number().over(W.partitionBy("model").orderBy(F.desc("gain"), "word"))
+    return sorted(r["word"] for r in rows.withColumn("rank", rank).filter(F.col("rank") <= most).select("word").distinct().collect())
 
 
 def _presence_bits(words: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -182,8 +189,8 @@ def _presence_bits(words: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, most: int, features: int = FEATURES) -> tuple[list[set[str]], dict[str, np.ndarray], np.ndarray]:
-    """Which telling words each text of the sample has, the labels of all categories and the folds.
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int, features: int = FEATURES) -> tuple[np.ndarray, list[str], dict[str, np.ndarray], np.ndarray]:
+    """Which telling words each text of the sample has (a column each), these words, the labels of all categories and the folds.
 
     Texts stay on the executors: a bit for each telling word, and `most` rows at most, come to the driver.
     """
@@ -191,22 +198,37 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int, features: int =
     words = telling_words(sample, features)
     schema = "at long, " + ", ".join(f"{c} int" for c in CATEGORIES) + ", bits binary"
     rows = sample.mapInArrow(_presence_bits(words), schema).orderBy("at").toArrow()
-    bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(words)) for x in rows["bits"].to_pylist()]
-    found = [{words[k] for k in np.flatnonzero(x)} for x in bits]
-    return found, {c: rows[c].to_numpy().astype(float) for c in CATEGORIES}, np.arange(len(found)) % FOLDS
+    bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(rows.num_rows, -(-len(words) // 8))
+    return np.unpackbits(bits, axis=1, count=len(words)), words, {c: rows[c].to_numpy().astype(float) for c in CATEGORIES}, rows["at"].to_numpy() % FOLDS
+
+
+def fitted_chain(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Link]:
+    """The chain, fitted on a sample of at most max_labelled distinct labelled texts, chosen by their hash."""
+    return fit_chain(*labelled_rows(docs, labels, max_labelled))
+
+
+def _probabilities(chain: list[Link], batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    every = frozenset().union(*(link.words.keys() for link in chain))
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1_000):
+            part = batch.slice(k, 1_000)
+            yield part, predict(chain, [every & words_of(t) for t in part.column(text).to_pylist()])
 
 
 def _score(chain: list[Link], limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = frozenset().union(*(link.words.keys() for link in chain))
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1_000):
-                part = batch.slice(k, 1_000)
-                p = predict(chain, [every & words_of(t) for t in part.column("__text").to_pylist()])
-                kept = [part.column(n) for n in part.schema.names if n != "__text"]
-                names = [n for n in part.schema.names if n != "__text"]
-                out = [pa.array(p[:, i]) for i in range(len(chain))] + [pa.array(p[:, -1] >= limit)]
-                yield pa.RecordBatch.from_arrays(kept + out, names + [f"p_{link.name}" for link in chain] + ["is_toxic"])
+        for part, p in _probabilities(chain, batches, "__text"):
+            kept = part.schema.names[:-1]
+            out = [pa.array(p[:, i]) for i in range(len(chain))] + [pa.array(p[:, -1] >= limit)]
+            yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(kept))] + out, kept + [f"p_{link.name}" for link in chain] + ["is_toxic"])
+
+    return run
+
+
+def _clean(chain: list[Link], limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, p in _probabilities(chain, batches, "text"):
+            yield part.filter(pa.array(p[:, -1] < limit))
 
     return run
 
@@ -214,13 +236,20 @@ def _score(chain: list[Link], limit: float) -> Callable[[Iterator[pa.RecordBatch
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of every row, with p_<category> for each link of the chain, and is_toxic.
 
-    Fitted on a sample of at most max_labelled distinct labelled texts, chosen by their hash; every row is
-    scored, without a shuffle, over its whole text. A null text counts as empty; rows whose id is null or
-    repeated are scored like others; labels without a document, or with a null value, are left out, several
-    labels of one document count as toxic if one is; without labels nothing is toxic; an empty table gives an
-    empty result. docs and labels need doc_id and text, and doc_id, toxic and quality; others don't matter.
+    Every row is scored, without a shuffle, over its whole text. A null text counts as empty; rows whose id is
+    null or repeated are scored like others; labels without a document, or with a null value, are left out,
+    several labels of one document count as toxic if one is; without labels nothing is toxic; an empty table
+    gives an empty result. docs and labels need doc_id and text, and doc_id, toxic and quality; others don't
+    matter, whatever their names. A column of `keep` that has the name of a result is left out.
     """
-    rows, marks, folds = labelled_rows(docs, labels, max_labelled)
-    chain = fit_chain(rows, marks, folds)
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"p_{link.name} double" for link in chain] + ["is_toxic boolean"])
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(_score(chain, threshold), schema)
+    chain = fitted_chain(docs, labels, max_labelled)
+    results = [f"p_{link.name} double" for link in chain] + ["is_toxic boolean"]
+    names = {x.split()[0] for x in results}
+    kept = [c for c in keep if c not in names]
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + results)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], docs["text"].alias("__text")).mapInArrow(_score(chain, threshold), schema)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score_toxicity() doesn't call toxic, with all their columns."""
+    return docs.mapInArrow(_clean(fitted_chain(docs, labels, max_labelled), threshold), docs.schema)

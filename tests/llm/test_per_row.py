@@ -101,16 +101,71 @@ def test_toxicity_odd_rows(spark, make_docs):
     assert toxicity.score_toxicity(make_docs([]), marks).count() == 0
 
 
+def test_columns_with_the_names_of_results(spark, make_docs):
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = make_docs(ODD).selectExpr("*", "'x' as is_toxic", "1 as p_toxic", "2 as at", "3 as fold", "4 as word")
+    got = toxicity.score_toxicity(docs, labels, keep=tuple(docs.columns))
+    assert got.columns == [c for c in docs.columns if c not in ("is_toxic", "p_toxic")] + [f"p_{c}" for c in toxicity.CATEGORIES] + ["is_toxic"]
+    assert got.count() == len(ODD)
+    clean = toxicity.without_toxic(docs, labels)
+    assert clean.columns == docs.columns and clean.count() == got.filter("not is_toxic").count()
+
+
 def test_chain_reads_earlier_probabilities():
     rng = np.random.default_rng(0)
     rows, a = [], rng.random(600) < 0.5
     for flag in a:
         rows.append({f"w{rng.integers(40)}", "sign" if flag else "none"})
-    chain = toxicity.fit_chain(rows, {"first": a.astype(float), "second": a.astype(float)}, np.arange(600) % 5, features=4)
+    words = sorted(set().union(*rows))
+    x = toxicity.presence(rows, {w: k for k, w in enumerate(words)})
+    chain = toxicity.fit_chain(x, words, {"first": a.astype(float), "second": a.astype(float)}, np.arange(600) % 5, features=4)
     assert chain[1].earlier.shape == (1,) and chain[1].earlier[0] > 0
     assert ((toxicity.predict(chain, rows)[:, 1] > 0.5) == a).all()
 
 
+def test_chain_against_plain_loops():
+    """Out-of-fold predictions and their words come from the other folds: each fold fitted anew, word by word."""
+    rng = np.random.default_rng(4)
+    words, n = [f"w{k:02d}" for k in range(30)], 300
+    x = (rng.random((n, 30)) < 0.3).astype(float)
+    labels = {"a": ((x[:, 0] + x[:, 1] + rng.random(n)) > 1.2).astype(float), "b": ((x[:, 1] + x[:, 2] + rng.random(n)) > 1.4).astype(float)}
+    folds = rng.integers(0, toxicity.FOLDS, n)
+
+    def best(rows, y):
+        def gain(k):
+            yes, no = sum(x[i, k] for i in rows if y[i]), sum(x[i, k] for i in rows if not y[i])
+            p, q = (yes + 0.5) / (sum(y[i] for i in rows) + 1), (no + 0.5) / (sum(1 - y[i] for i in rows) + 1)
+            return (p - q) * np.log(p / q) + (p - q) * np.log((1 - q) / (1 - p))
+
+        return sorted((k for k in range(30) if sum(x[i, k] for i in rows) >= 3), key=lambda k: (-round(gain(k), 12), k))[:5]
+
+    earlier, chain = np.zeros((n, 0)), toxicity.fit_chain(x, words, labels, folds, features=5)
+    for link, y in zip(chain, labels.values(), strict=True):
+        top = best(range(n), y)
+        w = toxicity.fit_logistic(np.hstack([x[:, top], earlier]), y)
+        assert list(link.words) == [words[k] for k in top] and np.allclose(np.concatenate([link.weights, link.earlier, [link.bias]]), w)
+        out = np.zeros(n)
+        for f in range(toxicity.FOLDS):
+            train, test = [i for i in range(n) if folds[i] != f], [i for i in range(n) if folds[i] == f]
+            own = np.hstack([x[:, best(train, y)], earlier])
+            out[test] = toxicity.sigmoid(np.hstack([own[test], np.ones((len(test), 1))]) @ toxicity.fit_logistic(own[train], y[train]))
+        earlier = np.hstack([earlier, out[:, None]])
+
+
+def test_telling_words_hold_those_of_every_fold(spark, monkeypatch):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    sample = toxicity.sample_texts(docs, labels, 500)
+    found, rows = set(toxicity.telling_words(sample, 20)), sample.collect()
+    every = sorted(set().union(*(toxicity.words_of(r.text) for r in rows)))
+    x = toxicity.presence([toxicity.words_of(r.text) for r in rows], {w: k for k, w in enumerate(every)})
+    want = set()
+    for fold in range(-1, toxicity.FOLDS):
+        train = np.array([r.fold != fold for r in rows])
+        for c in toxicity.CATEGORIES:
+            want |= {every[k] for k in toxicity.pick_words(x[train], np.array([r[c] for r in rows], float)[train], 20)}
+    assert len(found ^ want) <= 0.02 * len(want)  # ties in floating point
+
+
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "<s>\\ </s> [INST]"), (1, 2, "user", None), (1, 3, "assistant", ""),
     (2, 1, "assistant", "[\\INST] \\\\ <</SYS>>"), (2, 0, "system", "<<SYS>> [/TURN]"),
