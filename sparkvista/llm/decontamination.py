@@ -149,14 +149,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     other columns come back, but for those that have one of the three names above.
     """
     docs = docs.drop("contaminated", "items", "n_windows")
-    found = leaks(docs, benchmark).withColumnRenamed("cls", "__cls")
-    keyed = docs.withColumn("__cls", F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))))
-    rows = small_join(keyed, found, ["__cls"], "left")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"))
+    rows = small_join(_keyed(docs), leaks(docs, benchmark), ["cls"], "left")
+    return rows.select(*[F.col(f"doc.`{c}`") for c in docs.columns], F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc, cls): all columns of docs, whatever their names, and the MD5 of the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("cls"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that find_leaks() finds clean, with their columns."""
-    found = leaks(docs, benchmark).select(F.col("cls").alias("__cls"))
-    keyed = docs.withColumn("__cls", F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))))
-    return small_join(keyed, found, ["__cls"], "left_anti").drop("__cls")
+    return small_join(_keyed(docs), leaks(docs, benchmark).select("cls"), ["cls"], "left_anti").select("doc.*")

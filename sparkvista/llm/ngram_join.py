@@ -285,12 +285,13 @@ def keep_one(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, re
     links = ngram_links(docs, size, threshold, recall).filter("n_links > 0")
     first = links.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "cls")).alias("stays"))
     gone = links.join(first, "root").filter((F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)) != F.col("stays.doc_id")) | (F.col("cls") != F.col("stays.cls")))
-    gone = gone.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("cls").alias("__cls")).distinct()
-    rows = docs.withColumn("__id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("__cls", class_key(docs["text"])).join(gone, ["__id", "__cls"], "left_anti")
+    gone = gone.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "cls").distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")  # columns may have any names
+    rows = docs.select(whole, F.coalesce(docs["doc_id"], F.lit((1 << 63) - 1)).alias("id"), class_key(docs["text"]).alias("cls")).join(gone, ["id", "cls"], "left_anti")
     # copies that share their id as well
-    again = links.groupBy("doc_id", "cls").count().filter("count > 1").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("cls").alias("__cls"))
+    again = links.groupBy("doc_id", "cls").count().filter("count > 1").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "cls")
     same = materialize(again, "same")
     if same.isEmpty():
-        return rows.drop("__id", "__cls")
-    alone = rows.join(same, ["__id", "__cls"], "left_anti")
-    return alone.unionByName(rows.join(same, ["__id", "__cls"], "left_semi").dropDuplicates(["__id", "__cls"])).drop("__id", "__cls")
+        return rows.select("doc.*")
+    alone = rows.join(same, ["id", "cls"], "left_anti")
+    return alone.unionByName(rows.join(same, ["id", "cls"], "left_semi").dropDuplicates(["id", "cls"])).select("doc.*")

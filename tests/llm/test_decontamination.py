@@ -51,7 +51,7 @@ def test_templates_and_slots(spark, make_docs):
         (5, "x one, two. THREE four five!", "a"), (5, "x one, two. THREE four five!", "a"), (6, None, "a"), (7, "", None), (None, "the last item has no id at all but nine words", "b"), (8, "z " * 40_000 + "one two three four five", "b"), (9, "too short", "a"),
     ]
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
-    docs = make_docs(rows).selectExpr("*", "1 as items", "2 as item", "3 as hash")
+    docs = make_docs(rows).selectExpr("*", "1 as items", "2 as item", "3 as hash", "4 as __cls", "5 as cls", "6 as doc")
     got = d.find_leaks(docs, bench).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: (r.contaminated, r["items"]) for r in got}

@@ -74,7 +74,10 @@ def test_odd_rows(spark, make_docs):
     long = " ".join(f"v{k}" for k in range(30_000))
     rows = [(1, None, "a"), (1, None, "a"), (2, "", "a"), (3, "  \n", "b"), (4, "one two", "b"), (5, "one\ttwo", "b"), (5, "one\ttwo", "b"), (None, "one two", "c"), (None, "a b c d e f", "c"), (None, "a b c d e f", "c"), (7, long, "c"), (8, long + " end", "c")]
     assert result(make_docs(rows)) == brute([r[:2] for r in rows])
-    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(make_docs(rows)).collect()), key=str)
+    docs = make_docs(rows).selectExpr("*", "1 as cls", "2 as id", "3 as doc", "4 as __id", "5 as root")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert kept == sorted([(1, None), (1, None), (2, ""), (3, "  \n"), (4, "one two"), (None, "a b c d e f"), (7, long)], key=str)
     assert ngram_join.ngram_links(make_docs([])).count() == 0 and ngram_join.keep_one(make_docs([])).count() == 0
 
