@@ -10,8 +10,8 @@ same anchor, the least hash of the short strings in them, at the same place. So
      (column_bwt.py), one symbol of each piece a round. Neighbours with a common prefix of SPAN symbols are
      equal windows.
   4. What repeats goes back to all runs with that content, to the texts, and is cut out.
-A core with more pieces than HOT is cut once more, into single windows, which are counted: an exact way that
-pre-aggregates before the shuffle, for passages that very many documents share.
+The pieces of a core that has more than HOT are dealt once more, by the bytes next to the core, so that the
+construction never gets more than that many at once, however many documents share a passage.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .common import joined_bytes, materialize, only_keys, small_batches
 from .hashing import grouped, mix, powers
 
 WINDOW, ANCHOR, SPAN = 400, 64, 32
-#: Pieces of a core beyond which windows are counted one by one; pieces in a batch of the construction.
+#: Pieces of a core beyond which they are dealt by the bytes beside it too; pieces in a batch of the construction.
 HOT, BATCH = 4_096, 16_384
 #: Bytes hashed at a time; a longer text is read in parts that overlap by a window.
 _PART, _PLACES = 1 << 20, np.uint64((1 << 21) - 1)
@@ -120,6 +120,34 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PIECE = "core binary, ah long, ph long, w int, before binary, after binary, weight int"
 
 
+def repeated_windows(kinds: np.ndarray, before: list[bytes], after: list[bytes], weight: np.ndarray) -> np.ndarray:
+    """Which places of each piece start a window that occurs twice or more in the batch: (pieces, SPAN) flags.
+
+    A piece is the bytes before its core, a symbol for its core (kinds), and those after; pieces are distinct,
+    each stands for `weight` of them.
+    """
+    coded = [np.concatenate([np.frombuffer(b, np.uint8) + np.uint16(1), np.array([257 + k], np.uint16), np.frombuffer(a, np.uint8) + np.uint16(1)]) for k, b, a in zip(kinds.tolist(), before, after, strict=True)]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int64)
+    _, prefix, owner, length = build(np.concatenate(coded) if coded else np.zeros(0, np.uint16), starts)
+    full = np.flatnonzero(length >= SPAN)  # suffixes that begin a window: it has SPAN symbols, the core among them
+    flags = np.zeros((len(coded), SPAN), bool)
+    if len(full):
+        common = np.minimum.reduceat(prefix, np.column_stack([np.append(0, full[:-1] + 1), full + 1]).ravel()[: 2 * len(full) - (full[-1] + 1 >= len(prefix))])[::2]
+        group = np.cumsum(common < SPAN) - (common[0] < SPAN)
+        times = np.bincount(group, weight[owner[full]])
+        again = times[group] > 1
+        place = np.diff(starts)[owner[full]] - length[full]
+        flags[owner[full][again], place[again]] = True
+    return flags
+
+
+def _numbers(keys: list[bytes]) -> np.ndarray:
+    kinds = {c: k for k, c in enumerate(dict.fromkeys(keys))}
+    if len(kinds) > 65_000:
+        raise ValueError("too many cores in a batch")
+    return np.array([kinds[c] for c in keys], np.int64)
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that repeat, as (run, first and last place in it), from batches of pieces with whole cores."""
     for table in grouped(batches, ["core"], BATCH):
@@ -127,21 +155,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # pieces with equal bytes are one string of the collection; a run counts as often as its content occurs
         text = frame.groupby(["core", "before", "after"], sort=False)
         string, weight = text.ngroup().to_numpy(), text["weight"].sum()
-        kinds = {c: k for k, c in enumerate(dict.fromkeys(frame["core"]))}
-        if len(kinds) > 65_000:
-            raise ValueError("too many cores in a batch")
-        coded = [np.concatenate([np.frombuffer(b, np.uint8) + np.uint16(1), np.array([257 + kinds[c]], np.uint16), np.frombuffer(a, np.uint8) + np.uint16(1)]) for c, b, a in weight.index]
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int64)
-        _, prefix, owner, length = build(np.concatenate(coded) if coded else np.zeros(0, np.uint16), starts)
-        full = np.flatnonzero(length >= SPAN)  # suffixes that begin a window: it has SPAN symbols, the core among them
-        flags = np.zeros((len(coded), SPAN), bool)
-        if len(full):
-            common = np.minimum.reduceat(prefix, np.column_stack([np.append(0, full[:-1] + 1), full + 1]).ravel()[: 2 * len(full) - (full[-1] + 1 >= len(prefix))])[::2]
-            group = np.cumsum(common < SPAN) - (common[0] < SPAN)
-            times = np.bincount(group, weight.to_numpy()[owner[full]])
-            again = times[group] > 1
-            place = np.diff(starts)[owner[full]] - length[full]
-            flags[owner[full][again], place[again]] = True
+        core, before, after = (list(x) for x in zip(*weight.index, strict=True))
+        flags = repeated_windows(_numbers(core), before, after, weight.to_numpy())
         edge = np.diff(np.pad(flags[string], ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, low = np.nonzero(edge == 1)
         high = np.nonzero(edge == -1)[1] - 1
@@ -149,6 +164,19 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ah[row]), pa.array(ph[row]), pa.array((w[row] + low).astype(np.int32)), pa.array((w[row] + high).astype(np.int32))], ["ah", "ph", "low", "high"])
 
 
+def _window_code(core: bytes, left: bytes, right: bytes) -> bytes:
+    return hashlib.blake2b(core + bytes([len(left)]) + left + right, digest_size=16).digest()
+
+
+def _repeat_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The codes of windows that repeat, from batches of distinct pieces (key, core, before, after, weight) with whole keys."""
+    for table in grouped(batches, ["key"], BATCH):
+        key, core, before, after = (table.column(c).to_pylist() for c in ("key", "core", "before", "after"))
+        flags = repeated_windows(_numbers(key), before, after, table.column("weight").to_numpy())
+        codes = {_window_code(core[k], before[k][p:], after[k][: SPAN - 1 - len(before[k]) + p]) for k, p in zip(*(x.tolist() for x in np.nonzero(flags)), strict=True)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(codes), pa.binary())], ["code"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the given pieces by itself: a digest of its core and the bytes around it."""
     for batch in batches:
@@ -158,19 +186,49 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left = r["before"][k:]
                 right = r["after"][: SPAN - 1 - len(left)]
                 if len(left) + len(right) == SPAN - 1:
-                    code = hashlib.blake2b(r["core"] + bytes([len(left)]) + left + right, digest_size=16).digest()
+                    code = _window_code(r["core"], left, right)
                     for column, v in zip(out, (code, r["ah"], r["ph"], r["w"] + k, r["weight"]), strict=True):
                         column.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["code", "ah", "ph", "low", "weight"])
 
 
+def _halved(pieces: DataFrame, width: int) -> DataFrame:
+    """Each piece (key, core, before, after, low, weight) as two, with the windows of half as many lengths before the core.
+
+    Windows with `low` to low + width - 1 bytes before the core all hold the last `low` bytes there and the first
+    ones after it: these are the key, so that equal windows meet again, in a smaller group.
+    """
+    half, last = width // 2, SPAN - 1
+    rows = pieces.withColumn("low", F.explode(F.array(F.col("low"), F.col("low") + half))).withColumn("top", F.col("low") + half - 1)
+    rows = rows.filter((F.length("before") >= F.col("low")) & (F.length("after") >= last - F.col("top")))
+    end = lambda c, n: F.expr(f"substring({c}, length({c}) - least(length({c}), {n}) + 1, {n})")
+    rows = rows.withColumns({"before": end("before", "top"), "after": F.expr(f"substring(after, 1, {last} - low)")})
+    key = F.unhex(F.md5(F.concat("core", F.unhex(F.lpad(F.hex("low"), 2, "0")), end("before", "low"), F.expr(f"substring(after, 1, {last} - top)"))))
+    return rows.withColumn("key", key).groupBy("key", "core", "before", "after", "low").agg(F.sum("weight").alias("weight"))
+
+
 def _hot_repeats(pieces: DataFrame) -> DataFrame:
+    """Repeats among pieces of cores that very many have: dealt anew by bytes beside the core until groups are small.
+
+    With windows of one length before the core a key is a whole window, and its group one piece; so this ends.
+    Equal pieces are added up before every shuffle.
+    """
+    parts = pieces.groupBy("core", "before", "after").agg(F.sum("weight").alias("weight")).withColumn("key", F.col("core")).withColumn("low", F.lit(0))
+    width, codes = SPAN, None
+    while True:
+        if width < SPAN:
+            counts = materialize(parts.groupBy("key").agg(F.count(F.lit(1)).alias("pieces"), F.sum("weight").alias("times")).filter("times > 1"), "keys")
+            cold = parts.join(counts.filter(F.col("pieces") <= HOT).select("key"), "key", "left_semi")
+            found = cold.select("key", "core", "before", "after", "weight").repartition("key").sortWithinPartitions("key").mapInArrow(_repeat_codes, "code binary")
+            codes = found if codes is None else codes.unionByName(found)
+            hot = counts.filter(F.col("pieces") > HOT).select("key")
+            if hot.isEmpty():
+                break
+            parts = parts.join(hot, "key", "left_semi")
+        parts = materialize(_halved(parts, width), "halves")
+        width //= 2
     rows = pieces.select("core", "ah", "ph", "w", "before", "after", "weight").mapInArrow(_windows, "code binary, ah long, ph long, low int, weight int")
-    rows = materialize(rows, "windows")
-    # a copy of a row adds nothing: two runs, or one that occurs twice
-    run = F.xxhash64("ah", "ph", "low")
-    often = rows.groupBy("code").agg(F.min(run).alias("a"), F.max(run).alias("b"), F.max("weight").alias("n")).filter("n > 1 or a <> b").select("code")
-    return rows.join(often, "code", "left_semi").select("ah", "ph", "low", F.col("low").alias("high"))
+    return rows.join(materialize(codes.distinct(), "codes"), "code", "left_semi").select("ah", "ph", "low", F.col("low").alias("high"))
 
 
 def _cut(keep: tuple[str, ...], texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
