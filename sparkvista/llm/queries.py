@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import chat, decontamination, lm_scoring, mixing, ngram_join, quality, sharding, suffix_dedup, token_store, toxicity
 from .common import fresh_dir, table
 from .sql import ORACLE_SQL as ORACLE_SQL
@@ -74,6 +72,4 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op7_lm_scoring,)} | {"pipeline": corpus_pipeline.run}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+QUERIES |= {f.__name__: f for f in (op7_lm_scoring,)}
