@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkvista.llm import decontamination, mixing, ngram_join, sharding, toxicity
 from sparkvista.llm.common import fresh_dir, materialize, table
@@ -11,8 +10,7 @@ from sparkvista.llm.common import fresh_dir, materialize, table
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return scored.filter(~F.col("is_toxic")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
