@@ -77,4 +77,69 @@ SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
 FROM chats
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op3_chat_formatting": _OP3}
+#: Windows of 400 bytes as hexadecimal digits; blocks of a text keep substr() from walking through all of it.
+_OP2 = """
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), sized AS (
+  SELECT r, doc_id, h, length(h) // 2 AS n FROM texts
+), blocks AS (
+  SELECT r, b * 512 AS first, substr(h, b * 1024 + 1, 1024 + 798) AS part, least(512, n - 399 - b * 512) AS windows
+  FROM (SELECT r, h, n, unnest(range(0, (n - 400) // 512 + 1)) AS b FROM sized WHERE n >= 400)
+), windows AS (
+  SELECT r, first + k AS pos, hash(substr(part, 2 * k + 1, 800)) AS code
+  FROM (SELECT r, first, part, unnest(range(0, windows)) AS k FROM blocks)
+), again AS (
+  SELECT code FROM windows GROUP BY code HAVING count(*) > 1
+), starts AS (
+  SELECT r, pos FROM windows WHERE code IN (SELECT code FROM again)
+), marked AS (
+  SELECT r, pos, sum(new) OVER (PARTITION BY r ORDER BY pos) AS span
+  FROM (SELECT r, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY r ORDER BY pos) + 400 THEN 0 ELSE 1 END AS new FROM starts)
+), spans AS (
+  SELECT r, span, min(pos) AS low, max(pos) + 400 AS high FROM marked GROUP BY r, span
+), gaps AS (
+  SELECT r, span, low, high, lag(high, 1, 0::BIGINT) OVER (PARTITION BY r ORDER BY low) AS before,
+    row_number() OVER (PARTITION BY r ORDER BY low DESC) = 1 AS final FROM spans
+), kept AS (
+  SELECT g.r, count(*) AS n_spans, sum(high - low) AS n_removed,
+    string_agg(substr(h, 2 * before + 1, 2 * (low - before)) || CASE WHEN final THEN substr(h, 2 * high + 1) ELSE '' END, '' ORDER BY low) AS left_over
+  FROM gaps g JOIN sized s ON s.r = g.r GROUP BY g.r
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM sized LEFT JOIN kept ON kept.r = sized.r
+"""
+
+_OP9 = """
+WITH RECURSIVE classes AS (
+  SELECT row_number() OVER (ORDER BY min(doc_id), text) AS c, text, count(*) AS copies, min(doc_id) AS first_id
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY text
+), words AS (
+  SELECT c, copies, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM classes
+), grams AS (
+  SELECT DISTINCT c, md5_number(array_to_string(w[k : k + 4], ' ')) AS g
+  FROM (SELECT c, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT c, count(*) AS n FROM grams GROUP BY c
+), shared AS (
+  SELECT a.c AS a, b.c AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c
+), near AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.c = a JOIN sizes y ON y.c = b WHERE 5 * s.n >= 4 * (x.n + y.n - s.n)
+), links AS (
+  SELECT a, b FROM near UNION ALL SELECT b, a FROM near
+), reach AS (
+  SELECT c AS node, c AS root FROM sizes
+  UNION
+  SELECT l.b AS node, r.root FROM reach r JOIN links l ON l.a = r.node
+), groups AS (
+  SELECT r.node, min(c.first_id) AS class_id FROM reach r JOIN classes c ON c.c = r.root GROUP BY r.node
+), counts AS (
+  SELECT l.a AS node, sum(c.copies) AS n FROM links l JOIN classes c ON c.c = l.b GROUP BY l.a
+)
+SELECT d.doc_id, CASE WHEN g.node IS NULL THEN d.doc_id ELSE g.class_id END AS class_id,
+  CASE WHEN g.node IS NULL THEN 0 ELSE c.copies - 1 + coalesce(n.n, 0) END::BIGINT AS n_links
+FROM documents d JOIN classes c ON c.text = coalesce(d.text, '')
+LEFT JOIN groups g ON g.node = c.c LEFT JOIN counts n ON n.node = c.c
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_suffix_dedup": _OP2, "op3_chat_formatting": _OP3, "op9_ngram_join": _OP9}
