@@ -101,8 +101,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for size in sizes or [WINDOW]:
         views = texts.select("cls", plain.alias("plain"), template.alias("template"))
-        rows = views.select("cls", F.posexplode(F.arrays_zip(window_hashes(F.col("plain"), size).alias("p"), window_hashes(F.col("template"), size).alias("t"))).alias("dpos", "w"))
-        rows = rows.select("cls", "dpos", F.explode(F.array_distinct(F.array("w.p", "w.t"))).alias("hash"))
+        hashed = views.select("cls", window_hashes(F.col("plain"), size).alias("p"), window_hashes(F.col("template"), size).alias("t"))
+        # one row for each window of plain words, and one more where its template says something else
+        both = F.concat("p", F.zip_with("p", "t", lambda p, t: F.when(p != t, t)))
+        rows = hashed.select("cls", F.size("p").alias("n"), F.posexplode(both).alias("k", "hash")).filter("hash is not null")
+        rows = rows.select("cls", (F.col("k") % F.col("n")).alias("dpos"), "hash")
         own = probe.filter(F.col("size") == size).drop("size")
         hits = rows.join(F.broadcast(own) if small else own, "hash").select("cls", "item", "ipos", "dpos")
         found = hits if found is None else found.unionByName(hits)
