@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import HashingTF, NGram, Normalizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METADATA = ("business_id", "stars", "sentiment", "sentiment_label", "date", "user_id")
@@ -35,13 +35,15 @@ def hashed_embedding(df: DataFrame, dim: int = 64) -> DataFrame:
     return rows.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_pairs", "_tokens", "_counts", "_unit")
 
 
-def encode(df: DataFrame, encoder: Encoder) -> DataFrame:
-    """df with `embedding` from a model that each worker makes once; batches follow spark.sql.execution.arrow.maxRecordsPerBatch."""
+def encode(df: DataFrame, encoder: Encoder, batch_size: int = 1_024) -> DataFrame:
+    """df with `embedding` from a model that each worker makes once and that gets batch_size texts at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = encoder()
         for batch in batches:
-            yield batch.assign(embedding=[[float(x) for x in v] for v in model(batch["text"].fillna("").tolist())])
+            texts = batch["text"].fillna("").tolist()
+            parts = [model(texts[k : k + batch_size]) for k in range(0, len(texts), batch_size)]
+            yield batch.assign(embedding=[[float(x) for x in v] for part in parts for v in part])
 
     rows = df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", embedding array<float>")
     return rows.withColumn("embedding", l2_normalize(F.col("embedding")))
@@ -51,3 +53,18 @@ def check_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """One row: how many vectors there are, their least and greatest dimension, and those not of length 1."""
     norm = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return df.agg(F.count(vector).alias("vectors"), F.min(F.size(vector)).cast("long").alias("least_dim"), F.max(F.size(vector)).cast("long").alias("most_dim"), F.sum((F.abs(norm - 1) > 1e-5).cast("long")).alias("not_unit"))
+
+
+def save_vectors(df: DataFrame, path: str) -> None:
+    """Vectors and their metadata, in one table of Parquet files."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, rows: int | None = None, vector: str = "embedding") -> DataFrame:
+    """A saved table. A vector that is missing, of another length than the rest, or a number of rows other than `rows` is a ValueError."""
+    df = spark.read.parquet(path)
+    found = check_vectors(df, vector).first()
+    total = df.count()
+    if found["vectors"] != total or found["least_dim"] != found["most_dim"] or rows not in (None, total):
+        raise ValueError(f"{path} has {total} rows and {found['vectors']} vectors of {found['least_dim']} to {found['most_dim']} elements")
+    return df

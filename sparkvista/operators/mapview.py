@@ -18,6 +18,11 @@ def map_filter(df: DataFrame, city: str | None = None, category: str | None = No
     return df if category is None else df.filter(F.lower("categories").contains(category.lower()))
 
 
+def map_total(df: DataFrame, **filters: object) -> DataFrame:
+    """One row: how many businesses the filters of map_filter() leave."""
+    return map_filter(df, **filters).agg(F.count(F.lit(1)).alias("total"))
+
+
 def located(df: DataFrame) -> DataFrame:
     """Rows with both coordinates: not null, not NaN, not 0."""
     for c in ("latitude", "longitude"):
@@ -42,10 +47,16 @@ def clusters(df: DataFrame, zoom: float = 4, bbox: tuple[float, float, float, fl
     z = min(MAX_ZOOM, max(0, math.floor(zoom)))
     cell = lambda c, k: F.floor(c * (EXTENT / RADIUS) * F.pow(F.lit(2.0), F.lit(k) if isinstance(k, int) else k))
     x, y = mercator()
+    west, south, east, north = bbox
     rows = located(df).withColumn("x", x).withColumn("y", y)
+    # the mean of a cell lies within the cell, so that points further from the box than a cell's width can't count
+    side = RADIUS / EXTENT / 2.0**z
+    edge = lambda deg: 0.5 - math.asinh(math.tan(math.radians(max(-85.06, min(85.06, deg))))) / (2 * math.pi)
+    if south > -85 or north < 85:
+        rows = rows.filter(F.col("y").between(edge(north) - 1.01 * side, edge(south) + 1.01 * side))
+    rows = rows.filter(F.col("longitude").between(west - 1.01 * 360 * side, east + 1.01 * 360 * side))
     ends = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
     rows = rows.groupBy(cell(F.col("x"), z).alias("cell_x"), cell(F.col("y"), z).alias("cell_y")).agg(F.count(F.lit(1)).alias("point_count"), F.round(F.avg("longitude"), 6).alias("longitude"), F.round(F.avg("latitude"), 6).alias("latitude"), *ends)
-    west, south, east, north = bbox
     rows = rows.filter(F.col("longitude").between(west, east) & F.col("latitude").between(south, north))
     part = lambda k: (cell(F.col("x0"), k) != cell(F.col("x1"), k)) | (cell(F.col("y0"), k) != cell(F.col("y1"), k))
     splits = F.filter(F.sequence(F.lit(z), F.lit(MAX_ZOOM)), part)

@@ -89,6 +89,7 @@ ORACLE_SQL |= {
     "cities_by_state": f"SELECT DISTINCT city FROM {_BUSINESSES} WHERE state = '{STATE}'",
     "viewport": f"SELECT * FROM {_PLACES} WHERE latitude BETWEEN -10 AND 10 AND longitude BETWEEN -20 AND 20 ORDER BY {_BEST} LIMIT 1000",
     "map_filter": f"SELECT business_id, name FROM {_PARTS} WHERE city = 'ECONOMY' AND contains(lower(categories), 'widget')",
+    "map_total": f"SELECT count(*) AS total FROM {_PARTS} WHERE city = 'ECONOMY' AND contains(lower(categories), 'widget')",
     "map_clusters": _clusters(4, (-180, -85, 180, 85)),
     "map_clusters_bbox": _clusters(2, (-20, -10, 30, 15)),
     "city_centroid": f"SELECT stars, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude FROM {_PLACES} GROUP BY stars",

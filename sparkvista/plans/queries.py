@@ -69,6 +69,7 @@ QUERIES |= {
     "cities_by_state": lambda s, d: discovery.cities_of(domain.businesses(s, d), STATE),
     "viewport": lambda s, d: discovery.in_viewport(domain.places(s, d), -10.0, -20.0, 10.0, 20.0),
     "map_filter": lambda s, d: mapview.map_filter(domain.catalogue(s, d), city="ECONOMY", category="WIDGET").select("business_id", "name"),
+    "map_total": lambda s, d: mapview.map_total(domain.catalogue(s, d), city="ECONOMY", category="WIDGET"),
     "map_clusters": lambda s, d: mapview.clusters(domain.places(s, d)),
     "map_clusters_bbox": lambda s, d: mapview.clusters(domain.places(s, d), 2.7, (-20.0, -10.0, 30.0, 15.0)),
     "city_centroid": lambda s, d: mapview.city_centroid(domain.places(s, d), "stars"),

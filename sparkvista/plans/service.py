@@ -65,14 +65,14 @@ class ReviewService:
         self._check(period, metric)
         name = self.business(business_id)["name"]
         data = _rows(timeline(self.reviews, Scope("business", business_id), metric, period, start, end))
-        return {"business_id": business_id, "business_name": name, "period": period, "start_date": start, "end_date": end, "data": data}
+        return {"business_id": business_id, "business_name": name, "metric": metric, "period": period, "start_date": start, "end_date": end, "data": data}
 
     def area_timeline(self, state: str, city: str | None = None, metric: str = "rating", period: str = "month", start: str | None = None, end: str | None = None) -> dict:
         """The state is taken as it is written; an unknown one has no data."""
         self._check(period, metric)
         _need(len(state) == 2, "a state has two letters", 422)
         data = _rows(timeline(self.reviews, Scope("city" if city else "state", city=city, state=state), metric, period, start, end, self.businesses))
-        return {"state": state, **({"city": city} if city else {}), "period": period, "start_date": start, "end_date": end, "data": data}
+        return {"state": state, **({"city": city} if city else {}), "metric": metric, "period": period, "start_date": start, "end_date": end, "data": data}
 
     def comparison(self, business_id: object, kind: str, metric: str = "rating", period: str = "month", start: str | None = None, end: str | None = None) -> dict:
         self._check(period, metric)
@@ -80,7 +80,10 @@ class ReviewService:
         own = self.business(business_id)
         rows = _rows(compare(self.reviews, self.businesses, business_id, kind, metric, period, start, end))
         side = lambda tag: [{k: v for k, v in r.items() if k != "data_type"} for r in rows if r["data_type"] == tag]
-        return {"business_id": business_id, "business_name": own["name"], kind: own[kind], "metric": metric, "period": period, "business_data": side("business"), f"{kind}_average": side(kind)}
+        return {"business_id": business_id, "business_name": own["name"], kind: own[kind], "metric": metric, "period": period, "start_date": start, "end_date": end, "business_data": side("business"), f"{kind}_average": side(kind)}
+
+    def root(self) -> dict:
+        return {"message": "Business analytics", "status": "healthy"}
 
     def health(self) -> dict:
         return {"status": "healthy"}

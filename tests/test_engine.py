@@ -164,6 +164,33 @@ def test_embeddings(spark):
     assert embed.metadata(rows.withColumn("stars", F.lit(1))).columns == ["review_id", "stars"]
 
 
+def test_saved_vectors(spark, tmp_path):
+    rows = embed.hashed_embedding(spark.createDataFrame([(1, "good food"), (2, "bad food")], "review_id int, text string"))
+    embed.save_vectors(rows, str(tmp_path / "v"))
+    assert sorted(map(tuple, embed.load_vectors(spark, str(tmp_path / "v"), 2).collect())) == sorted(map(tuple, rows.collect()))
+    for bad in (rows.withColumn("embedding", F.expr("if(review_id = 1, embedding, null)")), rows.withColumn("embedding", F.expr("slice(embedding, 1, 60 + review_id)"))):
+        embed.save_vectors(bad, str(tmp_path / "bad"))
+        with pytest.raises(ValueError, match="vectors"):
+            embed.load_vectors(spark, str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="2 rows"):
+        embed.load_vectors(spark, str(tmp_path / "v"), 3)
+
+
+def test_encoder_gets_batches(spark):
+    rows = spark.range(10).selectExpr("id review_id", "'x' text").coalesce(1)
+    got = embed.encode(rows, lambda: lambda texts: [[1.0, float(len(texts))] for _ in texts], batch_size=4).orderBy("review_id").collect()
+    assert [round(r.embedding[1] / r.embedding[0]) for r in got] == [4] * 8 + [2] * 2
+
+
+def test_clusters_in_a_box_are_those_of_the_whole_map(spark):
+    points = spark.range(3_000).selectExpr("id business_id", "sin(id) * 178 + 0.001 longitude", "cos(id * 7) * 84 + 0.001 latitude")
+    for zoom in (0, 2, 5, 9):
+        whole = mapview.clusters(points, zoom).collect()
+        for box in ((-20.0, -10.0, 30.0, 15.0), (100.0, 50.0, 179.0, 84.9), (-180.0, -85.0, -100.0, 0.0)):
+            want = [r for r in whole if box[0] <= r.longitude <= box[2] and box[1] <= r.latitude <= box[3]]
+            assert sorted(map(str, mapview.clusters(points, zoom, box).collect())) == sorted(map(str, want))
+
+
 def test_service(shop):
     api = ReviewService(*shop)
     assert api.business("a")["name"] == "Joe's Pizza" and api.states() == ["NV", "PA"] and api.cities("pa") == ["Erie", "Philadelphia"]
@@ -173,6 +200,8 @@ def test_service(shop):
     assert api.area_timeline("pa")["data"] == [] and len(api.area_timeline("PA")["data"]) == 2
     assert api.business_timeline("a", "sentiment")["data"][0]["period_start"] == "2024-01-01"
     assert "relevance" not in api.search("pizza")[0]
+    assert api.root()["status"] == api.health()["status"] == "healthy"
+    assert set(found) >= {"metric", "start_date", "end_date"} and api.area_timeline("PA")["metric"] == api.business_timeline("a")["metric"] == "rating"
     for status, call in (
         (404, lambda: api.business("?")), (404, lambda: api.business_timeline("?")), (400, lambda: api.business_timeline("a", period="hour")), (400, lambda: api.comparison("a", "city", "votes")),
         (400, lambda: api.viewport(2, 0, 1, 5)), (422, lambda: api.viewport(0, 0, 91, 5)), (422, lambda: api.list(limit=1_001)), (422, lambda: api.search("")), (422, lambda: api.cities("PAX")),
