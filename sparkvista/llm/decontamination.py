@@ -42,16 +42,27 @@ def tokens(text: Column, name: str = _CAPITAL) -> tuple[Column, Column]:
     return cut(plain), cut(F.when(has, numbers).otherwise(named))
 
 
-def window_hashes(template: Column, size: int) -> Column:
-    """The hashes of all windows of `size` tokens, in order; none if there are fewer tokens."""
-    codes = F.transform(template, lambda x: F.xxhash64(x))
+def _joined_hashes(codes: Column, step: int) -> Column:
+    """The hash of each code and the one `step` places on, in order; none if there is no such pair."""
+
+    def pairs(c: Column) -> Column:
+        n = F.greatest(F.size(c) - step, F.lit(0))
+        return F.zip_with(F.slice(c, 1, n), F.slice(c, step + 1, n), lambda x, y: F.xxhash64(x, y))
+
+    # a lambda's variable is worked out once; an expression would be for each of its uses
+    return F.element_at(F.transform(F.array(codes), pairs), 1)
 
-    def windows(c: Column) -> Column:
-        n = F.size(c)
-        return F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(c, i, size)))).otherwise(F.array().cast("array<bigint>"))
 
-    # a lambda's variable is worked out once; an expression inside the inner lambda would be for every window
-    return F.element_at(F.transform(F.array(codes), windows), 1)
+def window_hashes(template: Column, size: int) -> Column:
+    """The hashes of all windows of `size` tokens, in order; none if there are fewer tokens.
+
+    Windows of 2, 4, ... tokens are hashed from two of half their length, the last ones from two that overlap.
+    """
+    codes, width = F.transform(template, lambda x: F.xxhash64(x)), 1
+    while width < size:
+        step = min(width, size - width)
+        codes, width = _joined_hashes(codes, step), width + step
+    return codes
 
 
 def _is_slot(token: Column) -> Column:
