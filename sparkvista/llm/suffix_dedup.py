@@ -266,7 +266,8 @@ def _text_key(text: Column) -> Column:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(cls, spans): for each text, by its MD5, the first and last starts of windows that also start elsewhere."""
     runs = materialize(texts.filter(F.octet_length("text") >= WINDOW).mapInArrow(_runs, _RUN), "runs")
-    often = runs.groupBy("ah").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("ah")
+    # as a table, so that the runs are dealt by themselves and Spark can split those of one anchor
+    often = materialize(runs.groupBy("ah").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("ah"), "anchors")
     runs = materialize(runs.join(often, "ah", "left_semi"), "runs")
     first = F.min(F.struct("cls", "at", "s0")).alias("first")
     unique = runs.groupBy("ah", "ph").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight"), first, F.first("n").alias("n"), F.first("off").alias("off"))
