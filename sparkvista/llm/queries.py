@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, lm_scoring, mixing, ngram_join, quality, sharding, suffix_dedup, token_store, toxicity
+from . import byte_bpe, chat, decontamination, lm_scoring, mixing, ngram_join, quality, sharding, suffix_dedup, token_store, toxicity
 from .common import fresh_dir, table
 from .sql import ORACLE_SQL as ORACLE_SQL
 
@@ -73,3 +73,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op7_lm_scoring,)}
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.bpe_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op11_byte_bpe,)}
