@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than the six ASCII white-space characters.
@@ -59,6 +60,25 @@ def small_join(df: DataFrame, small: DataFrame, on: list[str], how: str, most: i
     return df.join(small if small.limit(most + 1).count() > most else F.broadcast(small), on, how)
 
 
+def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """df with `place`, each row's number from 0 in its group by the columns of `order`, nulls first, and `total`, the group's rows.
+
+    Rows are dealt by ranges of group, order and their place in the input, so that neither a large group nor many
+    equal rows are one task's; each task's rows of a group are counted, and what other tasks hold before them is
+    added. The columns of `by` have no nulls. df should be a table, as its keys are sampled first.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in [*by, *order, "__salt"]]
+    rows = df.withColumn("__salt", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = materialize(rows.drop("__salt").withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    rows = rows.withColumn("__task", F.shiftright("__at", 33))
+    spans = rows.groupBy("__task", *by).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    group = W.partitionBy(*by)
+    before = F.coalesce(F.sum("__rows").over(group.orderBy("__task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = materialize(spans.withColumn("__before", before).withColumn("total", F.sum("__rows").over(group)), "spans")
+    rows = small_join(rows, spans.drop("__rows"), ["__task", *by], "inner")
+    return rows.withColumn("place", F.col("__at") - F.col("__first") + F.col("__before")).drop("__task", "__at", "__first", "__before")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

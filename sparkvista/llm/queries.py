@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontamination, lm_scoring, mixing, ngram_join, quality, sharding, suffix_dedup, token_store, toxicity
+from . import byte_bpe, chat, decontamination, lm_scoring, merkle, mixing, ngram_join, quality, sharding, suffix_dedup, token_store, toxicity
 from .common import fresh_dir, table
 from .sql import ORACLE_SQL as ORACLE_SQL
 
@@ -80,3 +80,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op11_byte_bpe,)}
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op12_merkle_manifest,)}

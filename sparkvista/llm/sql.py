@@ -142,4 +142,58 @@ FROM documents d JOIN classes c ON c.text = coalesce(d.text, '')
 LEFT JOIN groups g ON g.node = c.c LEFT JOIN counts n ON n.node = c.c
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_suffix_dedup": _OP2, "op3_chat_formatting": _OP3, "op9_ngram_join": _OP9}
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a text of ASCII characters, bit by bit; the constants are fixed values."""
+    bits = "list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, {})"
+    bytes_ = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce({bytes_}, lambda crc, b: {bits.format('xor(crc, b)')}, 4294967295::BIGINT), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Trees of documents have t = their language's number, the tree of subroots has t = -1.
+_SIBLINGS = """SELECT t, level, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {} WHERE n > 1 WINDOW w AS (PARTITION BY t, level, i // 8 ORDER BY i)"""
+_UP = "SELECT t, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM {} WHERE n > 1 GROUP BY t, level, i // 8"
+_OP12 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS row, doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, {_leaf('text')} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_crc32("coalesce(doc_id, 0)::VARCHAR")} % 3 = 0 THEN {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS other
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY t) AS total FROM leaves
+), nodes AS (
+  SELECT t, 0 AS level, place AS i, leaf AS h, total AS n FROM placed UNION ALL {_UP.format('nodes')}
+), subroots AS (
+  SELECT t, level AS top, h FROM nodes WHERE n = 1
+), upper AS (
+  SELECT -1 AS t, 0 AS level, t AS i, h, (SELECT count(*) FROM subroots) AS n FROM subroots UNION ALL {_UP.format('upper')}
+), siblings AS (
+  {_SIBLINGS.format('nodes')} UNION ALL {_SIBLINGS.format('upper')}
+), steps AS (
+  SELECT p.row, s.level AS k, s.l, s.r FROM placed p JOIN siblings s ON s.t = p.t AND s.i = p.place // power(8, s.level)::BIGINT
+  UNION ALL
+  SELECT p.row, b.top + s.level, s.l, s.r FROM placed p JOIN subroots b ON b.t = p.t JOIN siblings s ON s.t = -1 AND s.i = p.t // power(8, s.level)::BIGINT
+), paths AS (
+  SELECT row, list(l ORDER BY k) AS ls, list(r ORDER BY k) AS rs, string_agg(l || r, '' ORDER BY k) AS proof FROM steps GROUP BY row
+), folded AS (
+  SELECT row, 0 AS k, coalesce(other, leaf) AS h FROM placed
+  UNION ALL
+  SELECT f.row, k + 1, sha256(p.ls[k + 1] || h || p.rs[k + 1]) FROM folded f JOIN paths p ON p.row = f.row WHERE k < len(p.ls)
+), ends AS (
+  SELECT row, max_by(h, k) AS h FROM folded GROUP BY row
+)
+SELECT p.doc_id, p.leaf, b.h AS subroot, u.h AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, e.h AS folded_root, e.h = u.h AS verified
+FROM placed p JOIN subroots b ON b.t = p.t JOIN ends e ON e.row = p.row LEFT JOIN paths q ON q.row = p.row, (SELECT h FROM upper WHERE n = 1) u
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_suffix_dedup": _OP2, "op3_chat_formatting": _OP3, "op9_ngram_join": _OP9, "op12_merkle_manifest": _OP12}
