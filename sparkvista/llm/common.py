@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,10 @@ def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("place", F.col("__at") - F.col("__first") + F.col("__before")).drop("__task", "__at", "__first", "__before")
 
 
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontamination, lm_scoring, merkle, mixing, ngram_join, quality, sharding, suffix_dedup, token_store, toxicity
+from . import byte_bpe, chat, decontamination, lm_scoring, merkle, mixing, ngram_join, prefix_trie, quality, sharding, suffix_dedup, token_store, toxicity
 from .common import fresh_dir, table
 from .sql import ORACLE_SQL as ORACLE_SQL
 
@@ -87,3 +87,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op12_merkle_manifest,)}
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES |= {f.__name__: f for f in (op13_prefix_trie,)}

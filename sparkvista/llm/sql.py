@@ -196,4 +196,40 @@ SELECT p.doc_id, p.leaf, b.h AS subroot, u.h AS root, sha256(coalesce(q.proof, '
 FROM placed p JOIN subroots b ON b.t = p.t JOIN ends e ON e.row = p.row LEFT JOIN paths q ON q.row = p.row, (SELECT h FROM upper WHERE n = 1) u
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_suffix_dedup": _OP2, "op3_chat_formatting": _OP3, "op9_ngram_join": _OP9, "op12_merkle_manifest": _OP12}
+_OP13 = f"""
+WITH own AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) - 1 AS place, digest, words
+  FROM (SELECT *, sha256(octet_length(encode(role))::VARCHAR || ':' || role || text) AS digest, {_WORDS} AS words FROM own)
+), counted AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, count(*) AS n, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM turns GROUP BY conv_id
+), convs AS (
+  SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS b FROM counted c LEFT JOIN counted b ON b.conv_id = c.base
+), rebuilt AS (
+  SELECT c.conv_id, t.place + 1 AS depth, digest, words FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place < c.b
+  UNION ALL
+  SELECT c.conv_id, t.place - c.h + c.b + 1, digest, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place >= c.h
+), named AS (
+  SELECT conv_id, depth, words, sha256(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM rebuilt
+), members AS (
+  SELECT conv_id, depth, words, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent FROM named
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM convs
+), nodes AS (
+  SELECT key, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM members GROUP BY key, depth
+), children AS (
+  SELECT parent, count(*) AS n FROM nodes GROUP BY parent
+), marked AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.parent = n.key
+), below AS (
+  SELECT m.key, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.words)::BIGINT AS saved
+  FROM marked n JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.key
+), ends AS (
+  SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS digest
+  FROM (SELECT conv_id, arg_max(key, depth) AS key FROM members GROUP BY conv_id) GROUP BY key
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved AS saved_tokens, coalesce(e.digest, sha256('')) AS ends_sha256
+FROM marked n JOIN below b ON b.key = n.key LEFT JOIN nodes p ON p.key = n.parent LEFT JOIN ends e ON e.key = n.key
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_suffix_dedup": _OP2, "op3_chat_formatting": _OP3, "op9_ngram_join": _OP9, "op12_merkle_manifest": _OP12, "op13_prefix_trie": _OP13}
