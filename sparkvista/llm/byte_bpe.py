@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What a worker remembers: pieces, parts of pieces and windows, each of at most PART bytes.
-PIECES, PARTS, PART = 1 << 18, 1 << 17, 32
+PIECES, PARTS, PART = 1 << 18, 1 << 16, 32
 #: Characters from which a text's pieces are taken one by one, so that they are never all in memory.
 LONG_TEXT = 1 << 20
 #: Ids that a leaf of decoding joins.
@@ -173,9 +173,10 @@ def _mapped(df: DataFrame, keep: list[str], more: list[T.StructField], source: s
     return rows.mapInArrow(run, schema).toDF(*keep, *[f.name for f in more])
 
 
-def encode_texts(df: DataFrame, keep: list[str], text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode_texts(df: DataFrame, keep: list[str], text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
     """The columns `keep` of every row, `n_tokens` (long) and `ids` (binary: the ids as little-endian unsigned 32-bit integers).
 
+    With decoded, the ids are decoded again by the same workers, into another binary column of that name.
     A null text is empty and has no ids; a string that is not UTF-8 has U+FFFD in place of its bad bytes; texts that
     look like special tokens are plain text. A very long text stays in one task, its pieces are taken one by one
     and a piece without end costs n log n. Equal rows all stay; an empty table gives an empty result; a kept
@@ -185,9 +186,15 @@ def encode_texts(df: DataFrame, keep: list[str], text_col: str = "text", ranks_p
 
     def make(texts: pa.Array) -> list[pa.Array]:
         found = [codec(path, pattern).encode(x) for x in _strings(texts)]
-        return [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())]
+        out = [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())]
+        return [*out, _decoded(found, path, pattern)] if decoded else out
 
-    return _mapped(df, keep, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())], text_col, make)
+    new = {"n_tokens": T.LongType(), "ids": T.BinaryType()} | ({"decoded": T.BinaryType()} if decoded else {})
+    return _mapped(df, keep, [T.StructField(n, t) for n, t in new.items()], text_col, make)
+
+
+def _decoded(ids: list[bytes | None], path: str, pattern: str) -> pa.Array:
+    return pa.array([codec(path, pattern).decode(np.frombuffer(x or b"", "<u4")) for x in ids], pa.binary())
 
 
 def decode_ids(df: DataFrame, keep: list[str], ids_col: str = "ids", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -195,12 +202,12 @@ def decode_ids(df: DataFrame, keep: list[str], ids_col: str = "ids", ranks_path:
     path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
 
     def make(ids: pa.Array) -> list[pa.Array]:
-        return [pa.array([codec(path, pattern).decode(np.frombuffer(x or b"", "<u4")) for x in ids.to_pylist()], pa.binary())]
+        return [_decoded(ids.to_pylist(), path, pattern)]
 
     return _mapped(df, keep, [T.StructField("decoded", T.BinaryType())], ids_col, make)
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: its text encoded, and the ids decoded again."""
-    coded = encode_texts(docs, ["doc_id"]).withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode_ids(coded, ["doc_id", "n_tokens", "ids_sha256"]).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode_texts(docs, ["doc_id"], decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
