@@ -10,35 +10,29 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Classes of ids, ids with an embedding of their own, width of the head, width of the hidden layer.
-CLASSES, OWN, WIDTH, HIDDEN = 128, 4_096, 16, 32
+#: Classes of ids, those of ids that aren't among the commonest, ids with an embedding of their own, width of the
+#: head, width of the hidden layer.
+CLASSES, TAILS, OWN, WIDTH, HIDDEN = 128, 16, 4_096, 16, 32
 CONTEXT, STRIDE = 8, 24
 #: Windows in a step of training.
 BATCH = 64
 
 
-def window_places(ends: np.ndarray, every: int = 1, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, number) of the windows of texts with these offsets.
-
-    With every > 1 one window in so many is taken, from a place that salt gives to each text; of a text that has
-    fewer, one.
-    """
-    count = -(-np.diff(ends) // STRIDE)
+def window_places(ends: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, number) of the windows of texts with these offsets; `before`: ids of each text that are only read."""
+    count = -(-(np.diff(ends) - (0 if before is None else before)) // STRIDE)
     text = np.repeat(np.arange(len(count)), count)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    if every > 1:
-        first = (salt % np.clip(count, 1, every).astype(np.uint64)).astype(np.int64)
-        mine = nth % every == first[text]
-        text, nth = text[mine], nth[mine]
-    return text, nth
+    return text, np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def window_ids(ids: np.ndarray, ends: np.ndarray, end_id: int, text: np.ndarray, nth: np.ndarray) -> np.ndarray:
+def window_ids(ids: np.ndarray, ends: np.ndarray, end_id: int, text: np.ndarray, nth: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
     """The ids in the given windows, one row each, -1 for none: all but the last are read, those after CONTEXT + 1 predicted.
 
     ids holds all texts, each closed by end_id. A text reads that id before its first.
     """
     place = nth[:, None] * STRIDE + np.arange(-CONTEXT - 1, STRIDE)[None]
+    if before is not None:
+        place += before[text][:, None]
     inside = (place >= 0) & (place < np.diff(ends)[text][:, None])
     found = ids[np.where(inside, place + ends[:-1][text][:, None], 0)].astype(np.int32)
     return np.where(inside, found, np.where(place == -1, end_id, -1)).astype(np.int32)
@@ -83,7 +77,7 @@ class Network:
         total = a.sum(-1, keepdims=True)
         z = a @ v
         z /= total
-        h = np.tanh(z @ w["o"] + x[:, CONTEXT:] @ w["x"] + w["b"])
+        h = np.clip(z @ w["o"] + x[:, CONTEXT:] @ w["x"] + w["b"], -1, 1)
         y = h.reshape(-1, h.shape[-1]) @ w["c"]
         y += w["s"]
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "t": total, "z": z, "h": h, "y": y}
@@ -114,7 +108,7 @@ class Network:
         two = lambda m: m.reshape(-1, m.shape[-1])
         h, late = two(f["h"]), np.ascontiguousarray(f["x"][:, CONTEXT:])
         g = {"c": h.T @ p, "s": p.sum(0)}
-        dh = (p @ w["c"].T) * (1 - h * h)
+        dh = (p @ w["c"].T) * (np.abs(h) < 1)
         g |= {"o": two(f["z"]).T @ dh, "x": two(late).T @ dh, "b": dh.sum(0)}
         dx = np.zeros_like(f["x"])
         dx[:, CONTEXT:] = (dh @ w["x"].T).reshape(late.shape)

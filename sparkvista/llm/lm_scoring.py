@@ -5,10 +5,11 @@ from those before it, in overlapping windows of which each scores its new ids on
 once; the score is the sum of log10 P(id | before), and the probabilities of all ids sum to one.
 
 Counts of words, of ids and of their neighbours cover all training documents; the neighbours make classes and
-first embeddings of ids. Then the network trains by stochastic gradient: every training document gives one
-window in EVERY, and at least one. Windows are dealt by a hash of their text to shards of a fixed size; each
-shard trains a copy, whichever task holds it, and copies are averaged as whole numbers, so that neither the
-layout of the input nor the order of tasks changes the model.
+first embeddings of ids. Then the network trains by stochastic gradient on every window of every training
+document. Texts are cut into pieces of PIECE windows at most, and pieces are dealt by a hash to rounds and to
+shards of about a fixed size; each shard trains a copy on its windows in the order of a hash, whichever task
+holds it, and copies are averaged as whole numbers, so that neither the layout of the input nor the order of
+tasks changes the model.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention import CLASSES, CONTEXT, OWN, WIDTH, Network, window_ids, window_places
+from .attention import CLASSES, CONTEXT, OWN, STRIDE, TAILS, WIDTH, Network, window_ids, window_places
 from .common import joined_bytes, materialize, small_batches
-from .hashing import grouped, mix
+from .hashing import mix
 from .token_store import default_tokenizer, encoder
 
-#: Words whose counts are broadcast (about 20 bytes each).
-HEAD = 200_000
-#: One window in so many trains; rounds of copies, windows of a copy, first and last rate of training.
-EVERY, ROUNDS, SHARD, RATES = 12, 2, 65_536, (0.03, 0.003)
+#: Words whose counts are broadcast, and the most bytes that such a word has: 17 MB in all. Others are joined.
+HEAD, HEAD_BYTES = 200_000, 64
+#: Windows of a piece of text that stay together; rounds of copies, windows of a copy, first and last rate of training.
+PIECE, ROUNDS, SHARD, RATES = 64, 4, 65_536, (0.03, 0.003)
 #: The commonest ids whose places next to an id, and near it, tell classes apart; how far "near" goes.
 BESIDE, NEAR, REACH = 96, 32, 4
 #: Copies are averaged in units of 2**-30.
@@ -225,16 +226,23 @@ def _profiles(cells: np.ndarray) -> np.ndarray:
 
 
 def vocabulary_of(counts: np.ndarray, cells: np.ndarray) -> Vocabulary:
-    """Classes by k-means over the neighbours of common ids, all others in the last one; embeddings are principal components."""
+    """Classes by k-means over the neighbours of common ids; embeddings are principal components.
+
+    The other ids are dealt, by falling counts, to the last TAILS classes, which have about the same share of the
+    corpus each.
+    """
     rank = ranks_of(counts)
     used = np.argsort(rank)[:OWN]
     used = used[counts[used] > 0]
     group, table = np.full(len(counts), CLASSES - 1), np.zeros((OWN + CLASSES, WIDTH), np.float32)
+    tail = np.argsort(rank)[OWN:]
+    mass = np.cumsum(counts[tail] + 0.05)
+    group[tail] = CLASSES - TAILS + np.minimum(mass / mass[-1] * TAILS, TAILS - 1).astype(int)
     if len(used):
         rows, weight = _profiles(cells)[: len(used)], np.sqrt(counts[used])
         heavy = min(len(used), 20 * CLASSES)
         centres, far = [rows[0]], np.full(heavy, np.inf)
-        for _ in range(CLASSES - 2):
+        for _ in range(CLASSES - TAILS - 1):
             far = np.minimum(far, ((rows[:heavy] - centres[-1]) ** 2).sum(1) * weight[:heavy])
             centres.append(rows[int(np.argmax(far))])
         centres = np.array(centres)
@@ -253,49 +261,83 @@ def vocabulary_of(counts: np.ndarray, cells: np.ndarray) -> Vocabulary:
     return Vocabulary(counts, group, table)
 
 
-def _training_windows(end_id: int, every: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Windows that train, with a hash of their text and place in it."""
+def _training_pieces(end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pieces of PIECE windows at most, whole texts mostly, with a hash of text and place, and the piece's number in its text.
+
+    A piece but the first begins with the CONTEXT + 1 ids that its first window reads from before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype(id_kind(end_id))
         for batch, ids, ends in _id_batches(batches, end_id):
             salt = mix(batch.column("salt").to_numpy().view(np.uint64))
-            text, nth = window_places(ends, every, salt)
-            for k in range(0, len(text), 8_192):
-                t, n = text[k : k + 8_192], nth[k : k + 8_192]
-                seen = window_ids(ids, ends, end_id, t, n)
-                at = mix(salt[t] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                raw = pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer(np.arange(0, 4 * (seen.size + 1), 4 * seen.shape[1], np.int32)), pa.py_buffer(np.ascontiguousarray(seen))])
-                yield pa.RecordBatch.from_arrays([pa.array(at), raw], ["at", "ids"])
+            count = -(-np.diff(ends) // (STRIDE * PIECE))
+            text = np.repeat(np.arange(len(count)), count)
+            nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+            at = mix(salt[text] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            low = np.maximum(ends[:-1][text], ends[:-1][text] + nth * STRIDE * PIECE - CONTEXT - 1)
+            high = np.minimum(ends[1:][text], ends[:-1][text] + (nth + 1) * STRIDE * PIECE)
+            flat = ids.astype(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(nth > 0), pa.array([flat[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary())], ["at", "later", "ids"])
 
     return run
 
 
+def shards_of(batches: Iterator[pa.RecordBatch], itemsize: int) -> Iterator[pa.Table]:
+    """The shards of sorted pieces; one of more than 2 * SHARD windows, as of very many equal rows, in parts."""
+    kept: list[pa.RecordBatch] = []
+    shard, windows = None, 0
+    for batch in batches:
+        own, at = batch.column("shard").to_pylist(), 0
+        sizes = pc.binary_length(batch.column("ids")).to_numpy() // (itemsize * STRIDE) + 1
+        for k in range(batch.num_rows):
+            if own[k] != shard or windows >= 2 * SHARD:
+                kept.append(batch.slice(at, k - at))
+                if sum(x.num_rows for x in kept):
+                    yield pa.Table.from_batches(kept)
+                kept, at, shard, windows = [], k, own[k], 0
+            windows += sizes[k]
+        kept.append(batch.slice(at))
+    if sum(x.num_rows for x in kept):
+        yield pa.Table.from_batches(kept)
+
+
+def piece_windows(table: pa.Table, end_id: int) -> np.ndarray:
+    """The windows of pieces (at, later, ids), in the order of a hash of piece and place."""
+    kind = np.dtype(id_kind(end_id))
+    raw = table.column("ids").to_pylist()
+    ids = np.frombuffer(b"".join(raw), kind).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum([len(x) // kind.itemsize for x in raw])]).astype(np.int64)
+    before = np.where(table.column("later").to_numpy(zero_copy_only=False), CONTEXT + 1, 0)
+    text, nth = window_places(ends, before)
+    order = np.argsort(mix(table.column("at").to_numpy().view(np.uint64)[text] + nth.astype(np.uint64)), kind="stable")
+    return window_ids(ids, ends, end_id, text[order], nth[order], before)
+
+
 def _trainer(vocabulary: Vocabulary, start: np.ndarray, rates: tuple[float, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A copy of the network for each shard; puts out the sums of the copies' weights, in whole units, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inputs, total, copies = np.append(vocabulary.inputs(), -1), np.zeros(len(start), np.int64), 0
         group = np.append(vocabulary.group, -1)
-        for table in grouped(batches, ["shard"], SHARD):
-            shard = table.column("shard").to_numpy()
-            raw = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int32).reshape(len(shard), -1)
-            for mine in np.split(raw, np.flatnonzero(np.diff(shard)) + 1):
-                net = Network().load(start).train(inputs[mine[:, :-1]], group[mine[:, CONTEXT + 1 :]], np.arange(len(mine)), rates)
-                total += np.rint(net.flat().astype(float) * _UNIT).astype(np.int64)
-                copies += 1
+        for table in shards_of(batches, np.dtype(id_kind(vocabulary.end)).itemsize):
+            mine = piece_windows(table, vocabulary.end)
+            net = Network().load(start).train(inputs[mine[:, :-1]], group[mine[:, CONTEXT + 1 :]], np.arange(len(mine)), rates)
+            total += np.rint(net.flat().astype(float) * _UNIT).astype(np.int64)
+            copies += 1
         if copies:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), copies, np.int64))], ["id", "v", "n"])
 
     return run
 
 
-def train(windows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """The weights after ROUNDS rounds, each over its own part of the windows (at, ids)."""
+def train(pieces: DataFrame, windows: int, vocabulary: Vocabulary) -> np.ndarray:
+    """The weights after ROUNDS rounds, each over its own part of the pieces (at, later, ids), which have so many windows."""
     weights = Network(vocabulary.embedding).flat()
-    shards = max(1, round(windows.count() / (ROUNDS * SHARD)))
+    shards = max(1, round(windows / (ROUNDS * SHARD)))
     step = (RATES[1] - RATES[0]) / ROUNDS
     for k in range(ROUNDS):
-        part = windows.filter(F.pmod(F.shiftrightunsigned("at", 40), F.lit(ROUNDS)) == k).withColumn("shard", F.pmod("at", F.lit(shards)).cast("int"))
+        part = pieces.filter(F.pmod(F.shiftrightunsigned("at", 40), F.lit(ROUNDS)) == k).withColumn("shard", F.pmod("at", F.lit(shards)).cast("int"))
         part = part.repartition("shard").sortWithinPartitions("shard", "at", "ids")
         copies = part.mapInArrow(_trainer(vocabulary, weights, (RATES[0] + k * step, RATES[0] + (k + 1) * step)), "id int, v long, n long")
         mean = copies.groupBy("id").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
@@ -326,35 +368,38 @@ def _scorer(vocabulary: Vocabulary, weights: np.ndarray) -> Callable[[Iterator[p
 _KEPT = ("row", "doc_id", "held", "n_tokens", "sure", "base")
 
 
-def fit(coded: DataFrame, end_id: int, every: int = EVERY) -> tuple[Vocabulary, np.ndarray]:
+def fit(coded: DataFrame, end_id: int) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and the network's weights from training rows (salt, ids) of a table that is cheap to read."""
     counts = _fill(coded.select("ids").mapInArrow(_id_counts(end_id), "id int, n long"), end_id + 1)
     cells = _fill(coded.select("ids").mapInArrow(_neighbours(ranks_of(counts)), "id int, n long"), OWN * (BESIDE + NEAR))
     vocabulary = vocabulary_of(counts, cells)
-    windows = materialize(coded.select("salt", "ids").mapInArrow(_training_windows(end_id, every), "at long, ids binary"), "lm-windows")
-    return vocabulary, train(windows, vocabulary)
+    each = F.ceil(F.octet_length("ids") / float(np.dtype(id_kind(end_id)).itemsize * STRIDE))
+    windows = coded.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n")).first()["n"]
+    pieces = coded.select("salt", "ids").mapInArrow(_training_pieces(end_id), "at long, later boolean, ids binary")
+    return vocabulary, train(pieces, windows, vocabulary)
 
 
-def score_texts(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD, every: int = EVERY) -> DataFrame:
+def score_texts(docs: DataFrame, tokenizer: str | None = None, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
 
     Rows that are not held out are the training rows. Whole texts are read; a null text is empty and has its
     end only; repeated rows train and score as often as they stand there; null ids are held out; other columns
     are ignored; an empty table gives an empty result; without training rows every token is unknown, and the
     network is as it began. Words are runs between ASCII white space with A to Z in lower case; subword ids are
-    of the whole text in that lower case. every = 1 trains on each window of each training row.
+    of the whole text in that lower case. A very long text is one row of one task, but trains in pieces; very
+    long words are counted and joined as others are, and never broadcast.
     """
     path = tokenizer or default_tokenizer()
     end_id = encoder(path).tokenizer.get_vocab_size()
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("salt"))
+    rows = rows.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("salt"))
     training = rows.filter("not held")
     counts = materialize(training.select("text").mapInArrow(_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     total, texts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.lit(1)).alias("v")).first(), training.count()
     words = WordCounts(total["c"] + texts, total["v"] + (texts > 0), texts)
-    known = docs.sparkSession.sparkContext.broadcast(_packed(commonest(counts, "c", head).select("word", "c").toArrow()))
+    known = docs.sparkSession.sparkContext.broadcast(_packed(commonest(counts.filter(F.octet_length("word") <= HEAD_BYTES), "c", head).select("word", "c").toArrow()))
     coded = materialize(rows.mapInArrow(_coder(path, words, known), _CODED), "coded")
-    vocabulary, weights = fit(coded.filter("not held"), end_id, every)
+    vocabulary, weights = fit(coded.filter("not held"), end_id)
 
     scored = coded.select(*_KEPT, "ids").mapInArrow(_scorer(vocabulary, weights), "row long, doc_id long, held boolean, n_tokens long, sure long, base double, score double")
     tail = coded.select("row", F.explode("words").alias("word")).join(counts, "word", "left")

@@ -65,19 +65,39 @@ def test_every_training_row_makes_counts_and_trains(spark):
     cells = lm._fill(frame.select("ids").mapInArrow(lm._neighbours(rank), "id int, n long"), lm.OWN * (lm.BESIDE + lm.NEAR)).reshape(lm.OWN, -1)
     near = lambda low, high, most: sum(1 for a, b in zip(ends[:-1], ends[1:]) for k in range(a, b) for g in range(low, high) if k - g >= a and rank[ids[k - g]] < most)  # noqa: E731, B905
     assert cells[:, : lm.BESIDE].sum() == near(1, 2, lm.BESIDE) and cells[:, lm.BESIDE :].sum() == near(2, lm.REACH + 1, lm.NEAR)
-    for every in (1, 3):
-        rows = frame.mapInArrow(lm._training_windows(end, every), "at long, ids binary").collect()
-        found = [np.frombuffer(r["ids"], np.int32) for r in rows]
-        said = [x[attention.CONTEXT + 1 :] for x in found]
-        # each text takes part, wholly or by a window in so many
-        whole = [-(-(b - a) // attention.STRIDE) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        if every == 1:
-            assert len(rows) == sum(whole) and sum((x >= 0).sum() for x in said) == len(ids)
-        else:
-            assert sum(max(1, n // every) for n in whole) <= len(rows) <= sum(-(-n // every) for n in whole)
-    windows = frame.mapInArrow(lm._training_windows(end, 1), "at long, ids binary")
+    pieces = frame.mapInArrow(lm._training_pieces(end), "at long, later boolean, ids binary")
+    said = lm.piece_windows(pieces.toArrow(), end)[:, attention.CONTEXT + 1 :]
+    windows = sum(-(-(b - a) // attention.STRIDE) for a, b in zip(ends[:-1], ends[1:], strict=True))
+    assert len(said) == windows and sorted(said[said >= 0].tolist()) == sorted(ids.tolist())
     vocabulary = lm.vocabulary_of(got, cells.ravel())
-    assert not np.allclose(lm.train(windows, vocabulary), lm.Network(vocabulary.embedding).flat())
+    assert not np.allclose(lm.train(pieces, windows, vocabulary), lm.Network(vocabulary.embedding).flat())
+
+
+def test_pieces_have_the_windows_of_their_text(monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 2)
+    rng = np.random.default_rng(2)
+    ends = np.concatenate([[0], np.cumsum([1, 48, 49, 500, 24])])
+    ids, end = rng.integers(0, 50, ends[-1]), 99
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5)), pa.array([ids[a:b].astype("<u2").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["salt", "ids"])
+    found = pa.Table.from_batches(lm._training_pieces(end)([batch]))
+    got = lm.piece_windows(found, end)
+    want = attention.window_ids(ids, ends, end, *attention.window_places(ends))
+    assert found.num_rows == 1 + 1 + 2 + 11 + 1 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_a_shard_of_equal_rows_is_read_in_parts(monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 100)
+    batches = [pa.RecordBatch.from_pydict({"shard": s, "ids": [b"x" * 480] * len(s)}) for s in ([0] * 30, [0] * 5 + [1] * 3, [1] * 70, [2])]
+    sizes = [t.num_rows for t in lm.shards_of(iter(batches), 2)]
+    assert sizes == [19, 16, 19, 19, 19, 16, 1] and all(len(t.column("shard").unique()) == 1 for t in lm.shards_of(iter(batches), 2))
+
+
+def test_texts_without_blanks(spark, make_docs):
+    """Long words stay out of what is broadcast, and are still counted."""
+    rows = [(k, "漢字" * 3_000 + chr(0x4E00 + k % 7), "a") for k in range(40)] + [(100 + k, "short words here", "b") for k in range(5)]
+    assert scored(make_docs(rows))[0] == base([r[:2] for r in rows])
+    counts = spark.createDataFrame([("x" * k, 5) for k in (1, 64, 65, 9_000)], "word string, c long")
+    assert lm.commonest(counts.filter(f"octet_length(word) <= {lm.HEAD_BYTES}"), "c", 10).count() == 2
 
 
 def vocabulary():
@@ -102,6 +122,14 @@ def test_windows_predict_each_id_once():
         assert x.tolist() == before[at : at + len(x)]
 
 
+def test_rare_ids_have_classes_by_their_counts():
+    counts = np.zeros(50_258, np.int64)
+    counts[:20_000] = np.arange(20_000, 0, -1)
+    group = lm.vocabulary_of(counts, np.ones(lm.OWN * (lm.BESIDE + lm.NEAR), np.int64)).group
+    share = np.bincount(group[lm.OWN :], counts[lm.OWN :], attention.CLASSES)[-attention.TAILS :]
+    assert group[: lm.OWN].max() < attention.CLASSES - attention.TAILS and share.min() > 0.8 * share.max()
+
+
 def test_probabilities_of_all_ids_sum_to_one():
     v, rng = vocabulary(), np.random.default_rng(1)
     share = np.bincount(v.group, 10 ** v.log_share(), attention.CLASSES)
