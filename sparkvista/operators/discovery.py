@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.trigram import like_pattern, similarity_to, trigrams
 
+#: The least similarity of a match; marks of exact names, of similarity, and of fields that contain the query.
 SIMILAR = 0.3
+EXACT, WEIGHT, PARTIAL = (("name", 100), ("city", 90), ("state", 85)), (("name", 50), ("city", 40), ("categories", 30)), (("name", 20), ("city", 15), ("categories", 10))
+FIELDS, TEXTS = ("name", "city", "categories"), ("name", "city", "state", "categories")
 _BEST = [F.desc_nulls_first, "stars"], [F.desc_nulls_first, "review_count"]
 
 
@@ -50,9 +53,17 @@ def cities_of(df: DataFrame, state: str) -> DataFrame:
     return df.filter(F.col("state") == state).select("city").distinct().orderBy("city")
 
 
+def first_of(cases: list[tuple[Column, int]]) -> Column:
+    """The mark of the first case that holds, else 0."""
+    return F.coalesce(*[F.when(test, mark) for test, mark in cases], F.lit(0))
+
+
 def with_trigrams(df: DataFrame) -> DataFrame:
-    """Adds the trigrams that search() compares; they don't depend on the query, so a stored table can hold them."""
-    return df.withColumns({f"{c}_trigrams": trigrams(F.col(c)) for c in ("name", "city", "categories")})
+    """Adds the trigrams that search() compares; they don't depend on the query, so a stored table can hold them.
+
+    They are the columns of a generated row, which Spark works out once, wherever filters and orders use them.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[trigrams(F.col(c)).alias(f"{c}_trigrams") for c in FIELDS]))))
 
 
 def search(df: DataFrame, query: str, skip: int = 0, limit: int = 20) -> DataFrame:
@@ -65,11 +76,11 @@ def search(df: DataFrame, query: str, skip: int = 0, limit: int = 20) -> DataFra
         df = with_trigrams(df)
     q = query.strip().lower()
     like = lambda c, t: F.coalesce(F.col(c).ilike(like_pattern(t)), F.lit(False))
-    tests = [like(c, t) for t in q.split() for c in ("name", "city", "state", "categories")]
-    tests += [similarity_to(F.col(f"{c}_trigrams"), t).cast("double") > SIMILAR for t in q.split() for c in ("name", "city", "categories")]
+    tests = [like(c, t) for t in q.split() for c in TEXTS]
+    tests += [similarity_to(F.col(f"{c}_trigrams"), t).cast("double") > SIMILAR for t in q.split() for c in FIELDS]
     matches = reduce(or_, tests) if tests else F.lit(True)
-    exact = F.when(F.lower("name") == q, 100).when(F.lower("city") == q, 90).when(F.lower("state") == q, 85).otherwise(0)
-    similar = sum((similarity_to(F.col(f"{c}_trigrams"), q).cast("double") * w for c, w in (("name", 50), ("city", 40), ("categories", 30))), F.lit(0.0))
-    partial = F.when(like("name", q), 20).when(like("city", q), 15).when(like("categories", q), 10).otherwise(0)
+    exact = first_of([(F.lower(c) == q, mark) for c, mark in EXACT])
+    similar = sum((similarity_to(F.col(f"{c}_trigrams"), q).cast("double") * w for c, w in WEIGHT), F.lit(0.0))
+    partial = first_of([(like(c, q), mark) for c, mark in PARTIAL])
     rows = df.filter(matches).withColumn("relevance", F.round(exact + similar + partial, 6))
     return rows.orderBy(F.desc("relevance"), *_order()).offset(skip).limit(limit).drop("name_trigrams", "city_trigrams", "categories_trigrams")

@@ -21,9 +21,10 @@ def metadata(df: DataFrame, key: str = "review_id", optional: tuple[str, ...] =
 
 
 def l2_normalize(vector: Column) -> Column:
-    """The vector at length 1; a zero vector stays."""
+    """The vector at length 1; a zero vector stays, null stays null. The length is bound once, as the one element of an array."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(vector, lambda x: (x / norm).cast("float"))).otherwise(F.transform(vector, lambda x: x.cast("float")))
+    divisor = F.array(F.when(norm > 0, norm).otherwise(1.0))
+    return F.when(vector.isNotNull(), F.get(F.transform(divisor, lambda n: F.transform(vector, lambda x: (x / n).cast("float"))), F.lit(0)))
 
 
 def hashed_embedding(df: DataFrame, dim: int = 64) -> DataFrame:

@@ -23,9 +23,10 @@ def parse_date(raw: Column) -> Column:
 def outcomes(raw: DataFrame, key: str, loaded: DataFrame | None = None, parents: DataFrame | None = None, parent_key: str = "business_id", valid: Column | None = None) -> DataFrame:
     """raw with `outcome`: skipped before orphaned before error before inserted.
 
-    raw has _ordinal. Of records with one key the first that can be inserted is; later ones are skipped. The
-    first is a minimum by key, combined before its shuffle, so a key that very many records share is no hot
-    spot. loaded and parents hold keys that exist, each once.
+    raw has _ordinal, which no two records of a key share. Of records with one key the first that can be inserted
+    is; later ones are skipped. The first is a minimum by key, combined before its shuffle, and comes back to its
+    record by key and _ordinal, so that neither a key that very many records share nor null keys are a hot spot.
+    loaded and parents hold keys that exist, each once; Spark splits their joins where a key is hot.
     """
     rows = raw
     if loaded is not None:
@@ -37,9 +38,9 @@ def outcomes(raw: DataFrame, key: str, loaded: DataFrame | None = None, parents:
     if parents is not None:
         first = first.when(F.col("_parent").isNull(), "orphaned")
     rows = rows.withColumn("outcome", first.when(~fine, "error").otherwise("inserted"))
-    firsts = rows.filter("outcome = 'inserted'").groupBy(key).agg(F.min("_ordinal").alias("_first"))
-    rows = rows.join(firsts, key, "left")
-    late = F.col("_ordinal") > F.col("_first")
+    firsts = rows.filter("outcome = 'inserted'").groupBy(key).agg(F.min("_ordinal").alias("_ordinal")).withColumn("_won", F.lit(True))
+    rows = rows.join(firsts, [key, "_ordinal"], "left")
+    late = (F.col("outcome") == "inserted") & F.col("_won").isNull()
     return rows.withColumn("outcome", F.when(late, "skipped").otherwise(F.col("outcome"))).select(*raw.columns, "outcome")
 
 

@@ -77,6 +77,7 @@ for _kind, _where in _IN.items():
     ORACLE_SQL[f"{_kind}_ratings_week_window"] = _timeline(f"{_where} AND date >= DATE '{WINDOW[0]}' AND date <= DATE '{WINDOW[1]}'", "rating", "week", _more)
 ORACLE_SQL |= {f"compare_{k}_{m}": _compare(k, m) for k in ("city", "state") for m in ("rating", "sentiment")}
 ORACLE_SQL |= {f"search_{n}": _search(q) for n, q in SEARCHES.items()}
+ORACLE_SQL |= {f"search_indexed_{n}": _search(SEARCHES[n]) for n in ("typo", "terms", "wildcard")}
 ORACLE_SQL |= {
     "search_page": _search("red", 20),
     "business_by_id": f"SELECT * FROM {_BUSINESSES} WHERE business_id = {BUSINESS}",
@@ -102,6 +103,7 @@ ORACLE_SQL |= {
     "json_map": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "emb_metadata": "SELECT o_orderkey AS review_id, o_custkey AS business_id, o_totalprice AS stars, CAST(o_orderdate AS DATE) AS date FROM orders",
     "emb_alignment": f"SELECT count(embedding) AS vectors, CAST(min(len(embedding)) AS BIGINT) AS least_dim, CAST(max(len(embedding)) AS BIGINT) AS most_dim, CAST(sum(CAST(abs({_NORM} - 1) > 1e-5 AS BIGINT)) AS BIGINT) AS not_unit FROM embeddings",
-    "emb_normalized": f"SELECT count(embedding) AS vectors, CAST(min(len(embedding)) AS BIGINT) AS least_dim, CAST(max(len(embedding)) AS BIGINT) AS most_dim, CAST(sum(CAST({_NORM} = 0 AS BIGINT)) AS BIGINT) AS not_unit FROM embeddings",
+    "emb_normalized": f"SELECT vec_id, dim, CAST(place AS INTEGER) AS place, CAST(CAST(e[place + 1] / norm AS FLOAT) AS DOUBLE) AS value FROM (SELECT vec_id, e, CAST(len(e) AS BIGINT) AS dim, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm, unnest(range(0, len(e))) AS place FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS e FROM embeddings))",
+    "json_arrays": "SELECT event_id, event_type, round(value, 6) AS value, json_extract_string(props, '$.k') AS k FROM events",
     "emb_hashed": "SELECT count(*) AS vectors, CAST(64 AS BIGINT) AS least_dim, CAST(64 AS BIGINT) AS most_dim, CAST(sum(CAST(NOT regexp_matches(coalesce(text, ''), '\\S') AS BIGINT)) AS BIGINT) AS not_unit FROM documents",
 }

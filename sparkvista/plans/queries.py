@@ -7,11 +7,14 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import discovery, embed, ingest, mapview
+from ..operators.search_index import SearchIndex
 from ..operators.timeline import PERIODS, Scope, compare, timeline
 from ..sources import domain
-from ..sources.readers import string_map
+from ..sources.readers import read_records, string_map
+from ..sources.store import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 BUSINESS, CITY, STATE = 7, "NATION_18", "EUROPE"
@@ -41,8 +44,24 @@ def _search(spark: SparkSession, d: str, query: str, skip: int = 0) -> DataFrame
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    rows = domain.table(spark, d, "embeddings").withColumn("embedding", embed.l2_normalize(F.transform("embedding", lambda x: x * 3)))
-    return embed.check_vectors(rows)
+    """Each vector, three times as long, brought to length 1 again."""
+    rows = domain.table(spark, d, "embeddings").select("vec_id", embed.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))
+    return rows.select("vec_id", F.size("v").cast("long").alias("dim"), F.posexplode("v").alias("place", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+def _json_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Events as files that are one JSON array each, read again in splits; props are JSON within JSON strings."""
+    path = fresh_dir(spark, "arrays")
+    record = F.struct("event_id", "event_type", F.struct("value", "props").alias("data"))
+    arrays = domain.table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 5_000).alias("part")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("data", T.StructType([T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())]))])
+    rows = read_records(spark, path, schema)
+    return rows.select("event_id", "event_type", F.round("data.value", 6).alias("value"), F.element_at(string_map(F.col("data.props")), "k").alias("k"))
+
+
+def _indexed(spark: SparkSession, d: str, query: str) -> DataFrame:
+    return SearchIndex.write(domain.catalogue(spark, d), fresh_dir(spark, "search-index")).search(query).select("business_id", "name", "relevance")
 
 
 QUERIES: dict[str, Query] = {}
@@ -57,7 +76,10 @@ for _kind in ("city", "state"):
         QUERIES[f"compare_{_kind}_{_metric}"] = partial(_compare, kind=_kind, metric=_metric)
 for _name, _q in SEARCHES.items():
     QUERIES[f"search_{_name}"] = partial(_search, query=_q)
+for _name in ("typo", "terms", "wildcard"):
+    QUERIES[f"search_indexed_{_name}"] = partial(_indexed, query=SEARCHES[_name])
 QUERIES |= {
+    "json_arrays": _json_arrays,
     "search_page": partial(_search, query="red", skip=20),
     "business_by_id": lambda s, d: discovery.by_id(domain.businesses(s, d), "business_id", BUSINESS),
     "review_by_id": lambda s, d: discovery.by_id(domain.order_reviews(s, d), "review_id", 42),

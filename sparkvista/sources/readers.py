@@ -7,27 +7,45 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import json_array
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Records of a JSON array or of newline-delimited JSON, with `_ordinal`, their order in the input.
 
-    A file whose first character is "[" is one array, which one task must parse; lines are read in splits. Blank
-    and undecodable lines are left out. A path that does not exist is a FileNotFoundError.
+def _array_records(spark: SparkSession, files: list[str], schema: T.StructType) -> DataFrame:
+    rows = json_array.read_elements(spark, files).select(F.from_json("text", schema).alias("r"), F.struct("file", "block", "at").alias("_ordinal"))
+    return rows.select(*[F.col(f"r.{f.name}") for f in schema.fields], "_ordinal")
+
+
+def _line_records(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+    marked = T.StructType([T.StructField("v", schema), T.StructField("_bad", T.StringType())])
+    record = F.from_json(json_array.only_value(F.col("value")), marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = spark.read.text(paths).select("value", place.alias("_ordinal")).filter(F.trim("value") != "").select(record.alias("r"), "_ordinal")
+    return rows.filter("r._bad is null").select(*[F.col(f"r.v.{f.name}") for f in schema.fields], "_ordinal")
+
+
+def read_records(spark: SparkSession, path: str | list[str], schema: T.StructType, layout: str = "auto") -> DataFrame:
+    """Records of JSON arrays and of newline-delimited JSON, with `_ordinal`, their place (file, block, at) in the input.
+
+    Each file is taken by itself: one that is a whole JSON array as that array, any other (also a truncated array)
+    as lines, of which blank and undecodable ones are left out. Both are read in splits. An element that isn't an
+    object is a record of nulls; a bad field of an element is null. No two records have one place. A path that
+    does not exist is a FileNotFoundError. layout "lines" or "array" spares the scans that tell files apart;
+    "array" fails on a file that is none.
     """
     try:
-        head = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+        if layout == "lines":
+            return _line_records(spark, path, schema)
+        arrays, others = json_array.array_files(spark, path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(path) from e
         raise
-    if head and head[0]["value"].lstrip().startswith("["):
-        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(schema)).alias("records"), F.monotonically_increasing_id().alias("_file"))
-        rows = whole.select("_file", F.posexplode("records").alias("_place", "r"))
-        return rows.select("r.*", (F.shiftleft("_file", 30) + F.col("_place")).alias("_ordinal"))
-    marked = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    record = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = spark.read.text(path).filter(F.trim("value") != "").select(record.alias("r"), F.monotonically_increasing_id().alias("_ordinal"))
-    return rows.filter("r._bad is null").select(*[F.col(f"r.{f.name}") for f in schema.fields], "_ordinal")
+    if layout == "array" and others:
+        raise ValueError(f"no JSON array: {', '.join(sorted(others)[:3])}")
+    found = [_array_records(spark, arrays, schema)] if arrays else []
+    if others or not found:
+        found.append(_line_records(spark, list(map(json_array.path_of, others)) if others else path, schema))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def read_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

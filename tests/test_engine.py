@@ -8,12 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvista.functions.trigram import like_pattern, similarity, similarity_to, trigrams
-from sparkvista.operators import discovery, embed, ingest, mapview
+from sparkvista.operators import discovery, embed, ingest, mapview, search_index
 from sparkvista.operators.timeline import Scope, compare, timeline
 from sparkvista.plans.oracle import ORACLE_SQL
-from sparkvista.plans.queries import QUERIES
+from sparkvista.plans.queries import QUERIES, SEARCHES
 from sparkvista.plans.service import ReviewService, ServiceError
-from sparkvista.sources import readers, schema
+from sparkvista.sources import domain, readers, schema
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
@@ -90,6 +90,37 @@ def test_search_and_pages(shop):
     assert ids(discovery.in_viewport(businesses, 40.0, -75.0, 41.0, -74.0)) == ["a"]
 
 
+def test_search_by_index_is_search(spark, shop, tmp_path):
+    """All searches, wildcards included, give what a scan gives, and verify fewer rows."""
+    parts = domain.catalogue(spark, SF)
+    index, total, fewer = search_index.SearchIndex.write(parts, str(tmp_path / "i")), parts.count(), 0
+    for query in [*SEARCHES.values(), "red", "promo zzz", "br_nd", "%dget%", "\\%dget", "a", "PROMO brand#2"]:
+        want = [r.business_id for r in discovery.search(parts, query, limit=400).collect()]
+        assert [r.business_id for r in index.search(query, limit=400).collect()] == want, query
+        keys = index.candidates(query)
+        fewer += keys is not None and keys.count() < total
+    assert fewer >= 6
+    small = search_index.SearchIndex.write(shop[0], str(tmp_path / "s"))
+    for query in ("philadelfia", "PIZZA reno", " ", "zzz", "joe's"):
+        assert [r.business_id for r in small.search(query).collect()] == [r.business_id for r in discovery.search(shop[0], query).collect()]
+
+
+def test_needed_trigrams():
+    need = search_index.needed_trigrams
+    assert need("Widget") == ["dge", "get", "idg", "wid"] and need("wi%dget") == ["dge", "get"] and need("a_b") == need("\\") == [] and need("joe's") == ["joe"] and need("ab\\%cde") == ["cde"]
+
+
+def test_trigrams_are_worked_out_once(spark):
+    plan = discovery.search(domain.catalogue(spark, SF), "red widget")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^\\p{L}\\p{N}]+") <= 3
+
+
+def test_long_vectors(spark):
+    rows = spark.range(3).select(F.transform(F.sequence(F.lit(1), F.lit(1_000)), lambda x: (x * (F.col("id") - 1)).cast("float")).alias("v"))
+    lengths = [round(sum(x * x for x in r.v), 4) for r in rows.select(embed.l2_normalize(F.col("v")).alias("v")).collect()]
+    assert lengths == [1, 0, 1] and spark.sql("SELECT CAST(NULL AS array<float>) v").select(embed.l2_normalize(F.col("v")).alias("v")).first().v is None
+
+
 def test_map(shop):
     businesses, _ = shop
     assert [r.point_count for r in mapview.clusters(businesses).collect()] == [1]
@@ -136,6 +167,14 @@ def test_ingest(spark, shop, tmp_path):
     assert {r.outcome: r.records for r in ingest.report(again).collect()} == {"skipped": 4, "orphaned": 2, "error": 2}
 
 
+def test_a_hot_key_is_one_insert(spark):
+    """A key in most records, null keys and null parents: the first record wins, and no task of a join has them all."""
+    raw = spark.range(6_000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 'hot', concat('p', id))) photo_id", "'a' business_id", "'x' label", "id _ordinal").repartition(7)
+    rows = ingest.ingest_photos(raw, spark.createDataFrame([("a",)], "business_id string"))
+    assert {r.outcome: r.records for r in ingest.report(rows).collect()} == {"error": 2_000, "inserted": 2_001, "skipped": 1_999}
+    assert [r._ordinal for r in rows.filter("photo_id = 'hot' and outcome = 'inserted'").collect()] == [1]
+
+
 def test_ingest_businesses_and_photos(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"business_id": "a", "name": "n", "city": "c", "state": "s", "latitude": 1, "longitude": 2, "hours": {"Mon": "9-5"}},\n {"business_id": "b", "name": "n"}]')
     rows = ingest.ingest_businesses(readers.read_records(spark, str(tmp_path / "b.json"), schema.BUSINESS)).orderBy("business_id").collect()
