@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame expressions only.
 
-Numbers, units after numbers and capitalised words become typed placeholders; what remains is lower case.
+Numbers (in digits or words), units after numbers and words with a capital become typed placeholders; what
+remains is lower case.
 Windows of these tokens, and of the plain words, are joined by their hash with those of the benchmark. Matches
 on one diagonal (place in the document less place in the item) are one passage; it counts if the tokens really
-agree and its slots are consistent: wherever the item repeats a number or name, the document repeats the one it
-has there. A window of more slots than words counts only as an exact copy.
+agree and its slots are consistent: different numbers or names of the item are different ones in the document,
+and one that repeats is one that repeats there. A window of more slots than words counts only as an exact copy.
 """
 
 from __future__ import annotations
@@ -23,14 +24,20 @@ PLAIN = 0.5
 BROADCAST = 500_000
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "ton", "tons", "pound", "pounds", "ounce", "ounces", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "degree", "degrees", "mph", "kmh", "watt", "watts", "volt", "volts")
-#: Every capitalised word, whatever stands before it; and those inside a sentence, which are surely names.
-_CAPITAL, _INSIDE = "\\p{Lu}(?<![\\p{L}\\p{N}].)\\p{Ll}+", "\\p{Lu}(?<=[\\p{Ll},;:] .)\\p{Ll}+"
+#: Words that are numbers.
+NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion")
+#: Every word of two letters or more that begins with a capital (Alice, McDonald, IBM), whatever stands before it; and
+#: those inside a sentence, which are surely names. An apostrophe between capitals is part of a name (O'Neil).
+_CAPITAL, _INSIDE = "\\p{Lu}(?<![\\p{L}\\p{N}].)\\p{L}+", "\\p{Lu}(?<=[\\p{Ll},;:] .)\\p{L}+"
+_APOSTROPHE, _PRIVATE = "(?<=\\p{Lu})['\u2019](?=\\p{Lu}\\p{Ll})", f"[{NUMBER}-{NAME}]"
 _CUT = f"[^\\p{{L}}\\p{{N}}{NUMBER}{UNIT}{NAME}]+"
 
 
 def tokens(text: Column, name: str = _CAPITAL) -> tuple[Column, Column]:
     """(plain tokens in lower case, template tokens) of a text: two arrays of one length."""
     text = F.coalesce(text, F.lit(""))
+    for odd, instead in ((_PRIVATE, " "), (_APOSTROPHE, "")):  # the placeholders' own characters, and O'Neil
+        text = F.when(text.rlike(odd), F.regexp_replace(text, odd, instead)).otherwise(text)
     # 1,234.5 is one number, 5kg a number and a unit
     joined = F.regexp_replace(F.regexp_replace(text, "(?<=\\p{N})[.,](?=\\p{N})", ""), "(?<=\\p{N})(?=\\p{L})", " ")
     has = text.rlike("\\p{N}")
@@ -39,7 +46,8 @@ def tokens(text: Column, name: str = _CAPITAL) -> tuple[Column, Column]:
     units = "|".join(UNITS)
     numbers = F.regexp_replace(F.regexp_replace(named, "\\p{N}+", NUMBER), f"(?<={NUMBER} )(?i:{units})(?![\\p{{L}}\\p{{N}}])", UNIT)
     cut = lambda c: F.filter(F.split(F.lower(c), _CUT), lambda x: x != "")
-    return cut(plain), cut(F.when(has, numbers).otherwise(named))
+    words = lambda x: F.when(x.isin(*NUMBER_WORDS), NUMBER).otherwise(x)
+    return cut(plain), F.transform(cut(F.when(has, numbers).otherwise(named)), words)
 
 
 def _joined_hashes(codes: Column, step: int) -> Column:
@@ -65,6 +73,10 @@ def window_hashes(template: Column, size: int) -> Column:
     return codes
 
 
+def _all_differ(pairs: Column, side: str) -> Column:
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: p[side]))) == F.size(pairs)
+
+
 def _is_slot(token: Column) -> Column:
     return token.isin(NUMBER, UNIT, NAME)
 
@@ -144,7 +156,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + F.col("size") - 1))))
     slots = F.filter(covered, lambda k: _is_slot(F.element_at("template", (k + 1).cast("int"))))
     pairs = F.array_distinct(F.transform(slots, lambda k: F.struct(F.element_at("plain", (k + 1).cast("int")).alias("item"), F.element_at("said", (k + F.col("diagonal") + 1).cast("int")).alias("doc"))))
-    consistent = F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"]))) == F.size(pairs)
+    consistent = _all_differ(pairs, "item") & _all_differ(pairs, "doc")
     # a few words say too little to take what only begins a sentence ("What") for a name
     first = F.forall(slots, lambda k: (F.col("size") == WINDOW) | _is_slot(token("inside", k)) | (token("plain", k) == token("said", k + F.col("diagonal"))))
     enough = ((F.col("need") > 0) & (F.size(F.array_intersect("at", "telling")) >= F.col("need"))) | (F.size("at") >= F.col("whole"))
@@ -157,7 +169,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A text is contaminated if HITS windows of one item (all of a shorter one) stand in it in line, with
     consistent slots. Windows of more slots than words (sums, dates, lists of names) count as exact copies only,
-    and are not needed where others are found. Null texts are empty; equal texts, repeated rows and null ids are judged alike; items
+    and are not needed where others are found. A name is one word: a restatement with a name of more words
+    ("Mary Jane" for "Alice") or a number of more ("twenty five" for "9") is not found, nor one in capitals only;
+    verbatim copies of such items are. Characters that placeholders use are blanks. A very long text is one row of
+    one task, its windows are rows of their own. Null texts are empty; equal texts, repeated rows and null ids are judged alike; items
     that are null or of fewer than LEAST tokens match nothing, items with one text share it, null item ids are
     left out of items; an empty benchmark or table is no error. docs needs text, benchmark item_id and text;
     other columns come back, but for those that have one of the three names above.

@@ -89,3 +89,39 @@ def test_without_broadcast(spark, monkeypatch):
     want = sorted((r.doc_id, r["items"]) for r in d.find_leaks(docs, bench).collect())
     monkeypatch.setattr(d, "BROADCAST", 0)
     assert sorted((r.doc_id, r["items"]) for r in d.find_leaks(docs, bench).collect()) == want
+
+
+NAMES = [
+    (1, "If Alice has 9 apples and gives 3 of them to Tom, how many apples does Alice still have at home"),
+    (2, "At noon Tom meets Ann at stop 3 of the blue bus line and both ride on to stop 8 near the old mill"),
+]
+
+
+def test_names_number_words_and_different_slots(spark, make_docs):
+    first = "so If {} has {} apples and gives {} of them to {}, how many apples does {} still have at home"
+    second = "there At noon {} meets {} at stop {} of the blue bus line and both ride on to stop {} near the old mill"
+    want = {first.format(n, 7, 2, "Bob", n): [1] for n in ("Carol", "McDonald", "O'Neil", "O\u2019Neil", "IBM", "Zo\u00eb")}
+    want |= {
+        first.format("Carol", "nine", "five", "Bob", "Carol"): [1], first.format("Carol", 7, 2, "Bob", "Dora"): [], first.format("Carol", 7, 7, "Bob", "Carol"): [], first.format("Carol", 7, 2, "Carol", "Carol"): [],
+        second.format("Bob", "Eve", 5, 6): [2], second.format("Bob", "Bob", 5, 5): [], second.format("Bob", "Eve", 5, 5): [], second.format("Bob", "Bob", 5, 6): [],
+        first.format("Mary Jane", 7, 2, "Bob", "Mary Jane"): [],  # a name of two words, as the docstring says
+        "so If \ue002 has \ue000 apples and gives \ue000 of them to \ue002, how many apples does \ue002 still have at home": [],
+        "so " + NAMES[0][1].upper(): [1],
+    }
+    got = {r.text: r["items"] for r in d.find_leaks(make_docs([(k, t, "a") for k, t in enumerate(want)]), spark.createDataFrame(NAMES, "item_id long, text string")).collect()}
+    assert got == want
+
+
+def test_restated_benchmark_items(spark, make_docs):
+    """Every item of the benchmark with other numbers and names, each once for each old one, by a plain rewrite."""
+    bench = table(spark, "/root/testdata/sf0.01", "benchmark")
+    rows = []
+    for r in bench.collect():
+        known = {}
+
+        def other(m):
+            return known.setdefault(m[0], str(1_000 + len(known)) if m[0][0].isdigit() else "Zan" + "abcdefghijklmnopqrstuvwxyz"[len(known) % 26])
+
+        rows.append((r.item_id, "note: " + re.sub(r"[0-9]+|(?<=[a-z,;:] )[A-Z][a-z]+", other, r.text), "a"))
+    got = {r.doc_id: r["items"] for r in d.find_leaks(make_docs(rows), bench).collect()}
+    assert all(i in got[i] for i, _, _ in rows)
