@@ -159,10 +159,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     One shuffle, of the texts, by ranges of the id; encoding streams over the sorted rows, so that ids never
     cross the network. A null text is empty and keeps its end id; null ids come first; rows that share an id
-    are ordered by their text and all kept. An empty table gives a folder without rows.
+    are ordered by a hash of their text and all kept; they are dealt by that hash and their place too, so that no
+    task gets all rows of an id, or all null ids, or all equal rows. An empty table gives a folder without rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("salt", F.monotonically_increasing_id())
+    order = [F.asc_nulls_first("doc_id"), "h", "salt"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     coded = rows.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), "doc_id long, ids array<int>, n_tokens long")
     coded.write.option("orc.compress", "SNAPPY").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.row.index.stride", str(INDEX_ROWS)).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
 

@@ -237,8 +237,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     """The columns `keep` of every row, with p_<category> for each link of the chain, and is_toxic.
 
     Every row is scored, without a shuffle, over its whole text. A null text counts as empty; rows whose id is
-    null or repeated are scored like others; labels without a document, or with a null value, are left out,
-    several labels of one document count as toxic if one is; without labels nothing is toxic; an empty table
+    null or repeated are scored like others; labels without a document, or with a null id or toxic value, are left
+    out, a null quality counts as 1; several labels of one document count as toxic if one is; without labels nothing is toxic; an empty table
     gives an empty result. docs and labels need doc_id and text, and doc_id, toxic and quality; others don't
     matter, whatever their names. A column of `keep` that has the name of a result is left out.
     """

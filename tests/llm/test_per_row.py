@@ -206,3 +206,22 @@ def test_chat_other_template(spark):
 def test_chat_state_machine(spark, role, next_role, ok):
     rows = spark.createDataFrame([(1, 0, role, "a"), (1, 1, next_role, "b")], "conv_id long, turn int, role string, text string")
     assert chat.format_chats(rows).first().is_valid is ok
+
+
+def test_null_ids_are_dealt_over_tasks(spark, tmp_path):
+    """Three quarters of the rows without an id, half of all equal: no file has them all, and starts still add up."""
+    rows = spark.range(4_000).selectExpr("if(id < 3000, null, id) doc_id", "if(id < 2000, 'the same', concat('text ', id)) text").repartition(5)
+    path = str(tmp_path / "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    token_store.write_tokens(rows, path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in token_store.read_tokens(spark, path).selectExpr("_metadata.file_name f").groupBy("f").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 2_000
+    got = sorted((r.start, r.n_tokens) for r in token_store.token_digests(spark, path).collect())
+    assert len(got) == 4_000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+
+
+def test_a_null_quality_counts_as_good(spark, make_docs):
+    labels = spark.createDataFrame([(1, None, 1), (2, 0, 0), (3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    found = toxicity.sample_texts(make_docs([(k, f"text {k}", "a") for k in (1, 2, 3, None)]), labels, 10).collect()
+    assert sorted(r.text for r in found) == ["text 1", "text 2"]
