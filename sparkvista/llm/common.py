@@ -89,13 +89,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Removes a folder through Hadoop's file system, wherever it lies."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into slices with about limit bytes in a string column, so that numpy's temporaries stay small."""
     for batch in batches:

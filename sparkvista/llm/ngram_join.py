@@ -245,12 +245,13 @@ def ngram_links(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
     classes = materialize(classes, "classes")
 
     keys = classes.select("cls", F.explode("bands").alias("key"))
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # counts by key are tables, so that Spark can split the keys that are hot in the joins with them
+    often = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "often")
     buckets = block_pairs(keys.join(often, "key").join(classes.select("cls", "sketch"), "cls"), F.col("members"), BUCKET_BLOCK)
     buckets = buckets.select("key", "p", "q", "own", "cls", "sketch").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "cls")
     family = connected(buckets.mapInArrow(_bucket_edges, "a binary, b binary"))
 
-    sizes = family.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    sizes = materialize(family.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "sizes")
     families = family.join(sizes, "root").join(classes.select(F.col("cls").alias("node"), "copies", "first_id"), "node")
     families = families.select(F.col("node").alias("cls"), F.col("root").alias("family"), "members", "copies", "first_id")
     # one row of each class: copies that share their id too are told apart by nothing, and one of them is used
