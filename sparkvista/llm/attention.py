@@ -8,6 +8,8 @@ STRIDE new ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: Classes of ids, those of ids that aren't among the commonest, ids with an embedding of their own, width of the
@@ -133,13 +135,12 @@ class Network:
             g["e"][used, k] = np.bincount(place, two_dx[:, k], len(used))
         return loss, g
 
-    def train(self, ids: np.ndarray, target: np.ndarray, order: np.ndarray, rates: tuple[float, float]) -> Network:
-        """Adam over minibatches of windows in the given order, with a rate that falls from the first to the last."""
+    def train(self, some: Callable[[slice], tuple[np.ndarray, np.ndarray]], windows: int, rates: tuple[float, float]) -> Network:
+        """Adam over minibatches of (inputs, targets) that some() gives for a slice of the windows, with a rate that falls from the first to the last."""
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
-        steps = max(1, -(-len(order) // BATCH))
+        steps = max(1, -(-windows // BATCH))
         for t in range(1, steps + 1):
-            part = order[(t - 1) * BATCH : t * BATCH]
-            _, g = self.slopes(ids[part], target[part])
+            _, g = self.slopes(*some(slice((t - 1) * BATCH, t * BATCH)))
             rate = rates[0] + (rates[1] - rates[0]) * t / steps
             for name, slope in g.items():
                 m[name] += 0.1 * (slope - m[name])

@@ -54,7 +54,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "text", 8 << 20):
+    for batch in small_batches(batches, "text", 2 << 20):
         found = words_of(batch.column("text"))[0].value_counts()
         yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "c"])
         pa.default_memory_pool().release_unused()
@@ -105,7 +105,7 @@ def _coder(path: str, words: WordCounts, head: object) -> Callable[[Iterator[pa.
         end = coder.tokenizer.get_vocab_size()
         common = pa.ipc.open_stream(head.value).read_all()
         names, times = common.column(0).combine_chunks(), np.append(common.column(1).to_numpy(), -1)
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 2 << 20):
             ids, ends = coder.encode(pc.ascii_lower(batch.column("text").fill_null("")), end)
             flat = ids.astype(id_kind(end))
             found, counts = words_of(batch.column("text"))
@@ -302,8 +302,8 @@ def shards_of(batches: Iterator[pa.RecordBatch], itemsize: int) -> Iterator[pa.T
         yield pa.Table.from_batches(kept)
 
 
-def piece_windows(table: pa.Table, end_id: int) -> np.ndarray:
-    """The windows of pieces (at, later, ids), in the order of a hash of piece and place."""
+def piece_windows(table: pa.Table, end_id: int) -> tuple[int, Callable[[slice], np.ndarray]]:
+    """How many windows pieces (at, later, ids) have, and slices of them, in the order of a hash of piece and place."""
     kind = np.dtype(id_kind(end_id))
     raw = table.column("ids").to_pylist()
     ids = np.frombuffer(b"".join(raw), kind).astype(np.int32)
@@ -311,7 +311,8 @@ def piece_windows(table: pa.Table, end_id: int) -> np.ndarray:
     before = np.where(table.column("later").to_numpy(zero_copy_only=False), CONTEXT + 1, 0)
     text, nth = window_places(ends, before)
     order = np.argsort(mix(table.column("at").to_numpy().view(np.uint64)[text] + nth.astype(np.uint64)), kind="stable")
-    return window_ids(ids, ends, end_id, text[order], nth[order], before)
+    text, nth = text[order].astype(np.int32), nth[order].astype(np.int32)
+    return len(text), lambda part: window_ids(ids, ends, end_id, text[part], nth[part], before)
 
 
 def _trainer(vocabulary: Vocabulary, start: np.ndarray, rates: tuple[float, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -321,8 +322,13 @@ def _trainer(vocabulary: Vocabulary, start: np.ndarray, rates: tuple[float, floa
         inputs, total, copies = np.append(vocabulary.inputs(), -1), np.zeros(len(start), np.int64), 0
         group = np.append(vocabulary.group, -1)
         for table in shards_of(batches, np.dtype(id_kind(vocabulary.end)).itemsize):
-            mine = piece_windows(table, vocabulary.end)
-            net = Network().load(start).train(inputs[mine[:, :-1]], group[mine[:, CONTEXT + 1 :]], np.arange(len(mine)), rates)
+            windows, ids_of = piece_windows(table, vocabulary.end)
+
+            def some(part: slice, ids_of: Callable[[slice], np.ndarray] = ids_of) -> tuple[np.ndarray, np.ndarray]:
+                seen = ids_of(part)
+                return inputs[seen[:, :-1]], group[seen[:, CONTEXT + 1 :]]
+
+            net = Network().load(start).train(some, windows, rates)
             total += np.rint(net.flat().astype(float) * _UNIT).astype(np.int64)
             copies += 1
         if copies:

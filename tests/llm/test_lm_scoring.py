@@ -66,7 +66,8 @@ def test_every_training_row_makes_counts_and_trains(spark):
     near = lambda low, high, most: sum(1 for a, b in zip(ends[:-1], ends[1:]) for k in range(a, b) for g in range(low, high) if k - g >= a and rank[ids[k - g]] < most)  # noqa: E731, B905
     assert cells[:, : lm.BESIDE].sum() == near(1, 2, lm.BESIDE) and cells[:, lm.BESIDE :].sum() == near(2, lm.REACH + 1, lm.NEAR)
     pieces = frame.mapInArrow(lm._training_pieces(end), "at long, later boolean, ids binary")
-    said = lm.piece_windows(pieces.toArrow(), end)[:, attention.CONTEXT + 1 :]
+    count, windows_at = lm.piece_windows(pieces.toArrow(), end)
+    said = windows_at(slice(0, count))[:, attention.CONTEXT + 1 :]
     windows = sum(-(-(b - a) // attention.STRIDE) for a, b in zip(ends[:-1], ends[1:], strict=True))
     assert len(said) == windows and sorted(said[said >= 0].tolist()) == sorted(ids.tolist())
     vocabulary = lm.vocabulary_of(got, cells.ravel())
@@ -80,7 +81,8 @@ def test_pieces_have_the_windows_of_their_text(monkeypatch):
     ids, end = rng.integers(0, 50, ends[-1]), 99
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5)), pa.array([ids[a:b].astype("<u2").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["salt", "ids"])
     found = pa.Table.from_batches(lm._training_pieces(end)([batch]))
-    got = lm.piece_windows(found, end)
+    count, windows_at = lm.piece_windows(found, end)
+    got = np.concatenate([windows_at(slice(k, k + 5)) for k in range(0, count, 5)])
     want = attention.window_ids(ids, ends, end, *attention.window_places(ends))
     assert found.num_rows == 1 + 1 + 2 + 11 + 1 and sorted(map(tuple, got)) == sorted(map(tuple, want))
 
