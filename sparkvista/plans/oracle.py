@@ -66,6 +66,10 @@ def _clusters(zoom: int, bbox: tuple[float, float, float, float]) -> str:
 
 
 _OUTCOMES = f"(SELECT r.*, CASE WHEN o_orderstatus = 'F' THEN 'skipped' WHEN c_custkey IS NULL THEN 'orphaned' ELSE 'inserted' END AS outcome FROM {_ORDERS} r JOIN orders o ON o.o_orderkey = r.review_id LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) ON c_custkey = r.business_id)"
+_CREDIT = "IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)"
+_LOADED = f"""SELECT 'businesses' AS table_name, 'skipped' AS outcome, count(*) AS n FROM customer WHERE c_acctbal >= 0
+  UNION ALL SELECT 'photos', CASE WHEN p_partkey {_CREDIT} THEN 'inserted' ELSE 'orphaned' END, count(*) FROM part GROUP BY 2
+  UNION ALL SELECT 'reviews', CASE WHEN o_custkey NOT {_CREDIT} THEN 'orphaned' WHEN o_orderstatus = 'F' THEN 'skipped' ELSE 'inserted' END, count(*) FROM orders GROUP BY 2"""
 _NORM = "list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"
 _COUNT = ", count(DISTINCT business_id) AS business_count"
 
@@ -104,6 +108,8 @@ ORACLE_SQL |= {
     "emb_metadata": "SELECT o_orderkey AS review_id, o_custkey AS business_id, o_totalprice AS stars, CAST(o_orderdate AS DATE) AS date FROM orders",
     "emb_alignment": f"SELECT count(embedding) AS vectors, CAST(min(len(embedding)) AS BIGINT) AS least_dim, CAST(max(len(embedding)) AS BIGINT) AS most_dim, CAST(sum(CAST(abs({_NORM} - 1) > 1e-5 AS BIGINT)) AS BIGINT) AS not_unit FROM embeddings",
     "emb_normalized": f"SELECT vec_id, dim, CAST(place AS INTEGER) AS place, CAST(CAST(e[place + 1] / norm AS FLOAT) AS DOUBLE) AS value FROM (SELECT vec_id, e, CAST(len(e) AS BIGINT) AS dim, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm, unnest(range(0, len(e))) AS place FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS e FROM embeddings))",
+    "load_report": f"SELECT table_name, outcome, CAST(coalesce(n, 0) AS BIGINT) AS records FROM (VALUES ('businesses'), ('photos'), ('reviews')) t(table_name) CROSS JOIN (VALUES ('inserted'), ('skipped'), ('orphaned'), ('error')) o(outcome) LEFT JOIN ({_LOADED}) USING (table_name, outcome)",
+    "loaded_reviews": "SELECT CAST(o_orderkey AS VARCHAR) AS review_id, CAST(o_custkey AS VARCHAR) AS business_id, CAST(o_orderdate AS DATE) AS date, o_totalprice AS stars, 'neutral' AS sentiment_label FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)",
     "json_arrays": "SELECT event_id, event_type, round(value, 6) AS value, json_extract_string(props, '$.k') AS k FROM events",
     "emb_hashed": "SELECT count(*) AS vectors, CAST(64 AS BIGINT) AS least_dim, CAST(64 AS BIGINT) AS most_dim, CAST(sum(CAST(NOT regexp_matches(coalesce(text, ''), '\\S') AS BIGINT)) AS BIGINT) AS not_unit FROM documents",
 }

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import discovery, embed, ingest, mapview
+from ..operators.cluster_tree import cluster_tree
+from ..operators.load import Warehouse, outcome_rows
 from ..operators.search_index import SearchIndex
 from ..operators.timeline import PERIODS, Scope, compare, timeline
-from ..sources import domain
+from ..sources import domain, schema
 from ..sources.readers import read_records, string_map
 from ..sources.store import fresh_dir
 
@@ -39,6 +41,20 @@ def _ingest(spark: SparkSession, d: str) -> DataFrame:
     return ingest.ingest_reviews(raw, known, loaded)
 
 
+def _warehouse(spark: SparkSession, d: str) -> tuple[Warehouse, DataFrame]:
+    """Customers in credit as businesses, parts as their photos, orders as their reviews, in two loads: finished orders come first, all of them again later."""
+    customer, part, orders = (domain.table(spark, d, t) for t in ("customer", "part", "orders"))
+    text = lambda c: F.col(c).cast("string")
+    shops = customer.filter("c_acctbal >= 0").select(text("c_custkey").alias("business_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("city"), text("c_nationkey").alias("state"), F.col("c_acctbal").alias("latitude"), F.lit(1.0).alias("longitude"), F.col("c_custkey").alias("_ordinal"))
+    photos = part.select(text("p_partkey").alias("photo_id"), text("p_partkey").alias("business_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("label"), F.col("p_partkey").alias("_ordinal"))
+    reviews = orders.select(text("o_orderkey").alias("review_id"), text("o_custkey").alias("business_id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date"), F.col("o_totalprice").alias("stars"), F.col("o_orderkey").alias("_ordinal"), F.col("o_orderstatus").alias("status"))
+    wide = lambda df, kind: df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kind], "_ordinal")
+    house = Warehouse(spark, fresh_dir(spark, "warehouse"))
+    house.load(wide(shops, schema.BUSINESS), None, wide(reviews.filter("status = 'F'"), schema.REVIEW))
+    state = house.load(wide(shops, schema.BUSINESS), wide(photos, schema.PHOTO), wide(reviews, schema.REVIEW))
+    return house, outcome_rows(spark, state)
+
+
 def _search(spark: SparkSession, d: str, query: str, skip: int = 0) -> DataFrame:
     return discovery.search(domain.catalogue(spark, d), query, skip).select("business_id", "name", "relevance")
 
@@ -55,8 +71,8 @@ def _json_arrays(spark: SparkSession, d: str) -> DataFrame:
     record = F.struct("event_id", "event_type", F.struct("value", "props").alias("data"))
     arrays = domain.table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 5_000).alias("part")).agg(F.to_json(F.collect_list(record)).alias("value"))
     arrays.write.partitionBy("part").text(path)
-    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("data", T.StructType([T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())]))])
-    rows = read_records(spark, path, schema)
+    kind = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("data", T.StructType([T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())]))])
+    rows = read_records(spark, path, kind)
     return rows.select("event_id", "event_type", F.round("data.value", 6).alias("value"), F.element_at(string_map(F.col("data.props")), "k").alias("k"))
 
 
@@ -80,6 +96,9 @@ for _name in ("typo", "terms", "wildcard"):
     QUERIES[f"search_indexed_{_name}"] = partial(_indexed, query=SEARCHES[_name])
 QUERIES |= {
     "json_arrays": _json_arrays,
+    "map_cluster_tree": lambda s, d: cluster_tree(domain.places(s, d)),
+    "load_report": lambda s, d: _warehouse(s, d)[1],
+    "loaded_reviews": lambda s, d: _warehouse(s, d)[0].table("reviews").select("review_id", "business_id", "date", "stars", "sentiment_label"),
     "search_page": partial(_search, query="red", skip=20),
     "business_by_id": lambda s, d: discovery.by_id(domain.businesses(s, d), "business_id", BUSINESS),
     "review_by_id": lambda s, d: discovery.by_id(domain.order_reviews(s, d), "review_id", 42),
