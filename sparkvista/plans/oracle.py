@@ -80,6 +80,7 @@ for _kind, _where in _IN.items():
     ORACLE_SQL[f"{_kind}_sentiment_month"] = _timeline(_where, "sentiment", "month", _more)
     ORACLE_SQL[f"{_kind}_ratings_week_window"] = _timeline(f"{_where} AND date >= DATE '{WINDOW[0]}' AND date <= DATE '{WINDOW[1]}'", "rating", "week", _more)
 ORACLE_SQL |= {f"compare_{k}_{m}": _compare(k, m) for k in ("city", "state") for m in ("rating", "sentiment")}
+ORACLE_SQL |= {f"cube_{n}": ORACLE_SQL[n] for n in ("city_ratings_month", "state_sentiment_month", "compare_city_rating")}
 ORACLE_SQL |= {f"search_{n}": _search(q) for n, q in SEARCHES.items()}
 ORACLE_SQL |= {f"search_indexed_{n}": _search(SEARCHES[n]) for n in ("typo", "terms", "wildcard")}
 ORACLE_SQL |= {

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..operators import discovery, embed, ingest, mapview
 from ..operators.cluster_tree import cluster_tree
 from ..operators.load import Warehouse, outcome_rows
+from ..operators.period_cube import PeriodCube
 from ..operators.search_index import SearchIndex
 from ..operators.timeline import PERIODS, Scope, compare, timeline
 from ..sources import domain, schema
@@ -32,6 +33,14 @@ def _compare(spark: SparkSession, d: str, kind: str, metric: str) -> DataFrame:
     return compare(domain.reviews(spark, d), domain.businesses(spark, d), BUSINESS, kind, metric, "month")
 
 
+def _cube(spark: SparkSession, d: str) -> PeriodCube:
+    """Line items in two parts, as if those of later days had come later."""
+    cube, reviews = PeriodCube.create(domain.businesses(spark, d), fresh_dir(spark, "cube")), domain.reviews(spark, d)
+    cube.append(reviews.filter("date < '1998-05-13'"), "first")
+    cube.append(reviews.filter("date >= '1998-05-13'"), "later")
+    return cube
+
+
 def _ingest(spark: SparkSession, d: str) -> DataFrame:
     """Orders as records: finished ones are loaded already, and customers in debt are unknown."""
     orders = domain.table(spark, d, "orders")
@@ -96,6 +105,9 @@ for _name in ("typo", "terms", "wildcard"):
     QUERIES[f"search_indexed_{_name}"] = partial(_indexed, query=SEARCHES[_name])
 QUERIES |= {
     "json_arrays": _json_arrays,
+    "cube_city_ratings_month": lambda s, d: _cube(s, d).timeline(Scope("city", city=CITY, state=STATE)),
+    "cube_state_sentiment_month": lambda s, d: _cube(s, d).timeline(Scope("state", state=STATE), "sentiment"),
+    "cube_compare_city_rating": lambda s, d: _cube(s, d).compare(BUSINESS, "city"),
     "map_cluster_tree": lambda s, d: cluster_tree(domain.places(s, d)),
     "load_report": lambda s, d: _warehouse(s, d)[1],
     "loaded_reviews": lambda s, d: _warehouse(s, d)[0].table("reviews").select("review_id", "business_id", "date", "stars", "sentiment_label"),
