@@ -29,15 +29,17 @@ NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "
 #: Every word of two letters or more that begins with a capital (Alice, McDonald, IBM), whatever stands before it; and
 #: those inside a sentence, which are surely names. An apostrophe between capitals is part of a name (O'Neil).
 _CAPITAL, _INSIDE = "\\p{Lu}(?<![\\p{L}\\p{N}].)\\p{L}+", "\\p{Lu}(?<=[\\p{Ll},;:] .)\\p{L}+"
-_APOSTROPHE, _PRIVATE = "(?<=\\p{Lu})['\u2019](?=\\p{Lu}\\p{Ll})", f"[{NUMBER}-{NAME}]"
+_APOSTROPHE, _PRIVATE = "['\u2019](?=\\p{Lu}\\p{Ll})(?<=\\p{Lu}.)", f"[{NUMBER}-{NAME}]"
 _CUT = f"[^\\p{{L}}\\p{{N}}{NUMBER}{UNIT}{NAME}]+"
 
 
+def cleaned(text: Column) -> Column:
+    """A text without the placeholders' own characters, and with names like O'Neil in one word; null is empty."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _PRIVATE, " "), _APOSTROPHE, "")
+
+
 def tokens(text: Column, name: str = _CAPITAL) -> tuple[Column, Column]:
-    """(plain tokens in lower case, template tokens) of a text: two arrays of one length."""
-    text = F.coalesce(text, F.lit(""))
-    for odd, instead in ((_PRIVATE, " "), (_APOSTROPHE, "")):  # the placeholders' own characters, and O'Neil
-        text = F.when(text.rlike(odd), F.regexp_replace(text, odd, instead)).otherwise(text)
+    """(plain tokens in lower case, template tokens) of a cleaned text, a column of its own: two arrays of one length."""
     # 1,234.5 is one number, 5kg a number and a unit
     joined = F.regexp_replace(F.regexp_replace(text, "(?<=\\p{N})[.,](?=\\p{N})", ""), "(?<=\\p{N})(?=\\p{L})", " ")
     has = text.rlike("\\p{N}")
@@ -97,8 +99,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     may begin a sentence there. `need` telling windows, or `whole` windows of any kind, make a leak.
     """
     items = benchmark.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    (plain, template), (_, inside) = tokens(F.col("text")), tokens(F.col("text"), _INSIDE)
-    items = items.select(F.md5("text").alias("item"), "ids", plain.alias("plain"), template.alias("template"), inside.alias("inside")).filter(F.size("template") >= LEAST)
+    (plain, template), (_, inside) = tokens(F.col("clean")), tokens(F.col("clean"), _INSIDE)
+    items = items.withColumn("clean", cleaned(F.col("text"))).select(F.md5("text").alias("item"), "ids", plain.alias("plain"), template.alias("template"), inside.alias("inside")).filter(F.size("template") >= LEAST)
     items = items.withColumn("size", F.least(F.size("template"), F.lit(WINDOW)))
     begun = lambda c: F.concat(F.array(F.lit(NAME)), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))))
     views = ("plain", "template", "inside", "begun")
@@ -119,7 +121,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # WINDOW - LEAST + 1 values at most
     probe = windows.select(F.explode("hashes").alias("hash"), "size", "item", "ipos")
     small = probe.limit(BROADCAST + 1).count() <= BROADCAST
-    texts = docs.select(F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("cls"), docs["text"].alias("text"))
+    texts = docs.select(F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("cls"), cleaned(docs["text"]).alias("text"))
     plain, template = tokens(F.col("text"))
     found = None
     for size in sizes or [WINDOW]:
