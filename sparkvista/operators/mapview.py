@@ -80,6 +80,19 @@ def category_list(df: DataFrame, limit: int | None = 200) -> DataFrame:
     return rows if limit is None else rows.limit(limit)
 
 
+def first_seen(df: DataFrame, column: str = "categories", separator: str | None = ",", limit: int | None = 200, place: str = "_place") -> DataFrame:
+    """(value, place, nth) of the distinct values in the order in which a reader of the rows meets them, cut by that order.
+
+    place orders the rows (sources.domain.placed() has it from files and their rows); separator splits a field, whose
+    parts are trimmed, null: the field is one value. Empty values and nulls are left out. A least place for each value
+    is combined before the shuffle, so the number of partitions and hot values don't matter.
+    """
+    parts = F.split(column, separator) if separator is not None else F.array(F.col(column))
+    rows = df.select(F.col(place).alias("place"), F.posexplode(parts).alias("nth", "value")).withColumn("value", F.trim("value")).filter("value <> ''")
+    rows = rows.groupBy("value").agg(F.min(F.struct("place", "nth")).alias("first")).orderBy("first")
+    return (rows if limit is None else rows.limit(limit)).select("value", "first.place", "first.nth")
+
+
 def popup(df: DataFrame) -> DataFrame:
     """What a marker's popup shows: the first three categories, and the status."""
     status = F.when(F.col("is_open") != 0, "Open").otherwise("Closed") if "is_open" in df.columns else F.lit("Open")

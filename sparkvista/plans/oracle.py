@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.trigram import like_pattern, trigrams_of
 from ..operators.timeline import METRICS, PERIODS
-from .queries import BUSINESS, CITY, SEARCHES, STATE, WINDOW
+from .queries import BUSINESS, CITY, PAGE_ORDER, SEARCHES, STATE, WINDOW
 
 _BUSINESSES = "(SELECT s_suppkey AS business_id, s_name AS name, n_name AS city, r_name AS state, s_acctbal AS stars, 0 AS review_count FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 _REVIEWS = "(SELECT l_orderkey AS review_id, l_suppkey AS business_id, CAST(l_shipdate AS DATE) AS date, l_quantity AS stars, l_discount AS sentiment_score_prob_diff, l_tax AS sentiment_score_expected FROM lineitem)"
@@ -111,6 +111,8 @@ ORACLE_SQL |= {
     "emb_normalized": f"SELECT vec_id, dim, CAST(place AS INTEGER) AS place, CAST(CAST(e[place + 1] / norm AS FLOAT) AS DOUBLE) AS value FROM (SELECT vec_id, e, CAST(len(e) AS BIGINT) AS dim, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm, unnest(range(0, len(e))) AS place FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS e FROM embeddings))",
     "load_report": f"SELECT table_name, outcome, CAST(coalesce(n, 0) AS BIGINT) AS records FROM (VALUES ('businesses'), ('photos'), ('reviews')) t(table_name) CROSS JOIN (VALUES ('inserted'), ('skipped'), ('orphaned'), ('error')) o(outcome) LEFT JOIN ({_LOADED}) USING (table_name, outcome)",
     "loaded_reviews": "SELECT CAST(o_orderkey AS VARCHAR) AS review_id, CAST(o_custkey AS VARCHAR) AS business_id, CAST(o_orderdate AS DATE) AS date, o_totalprice AS stars, 'neutral' AS sentiment_label FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)",
+    "deep_page": f"SELECT {', '.join(c for c, _ in PAGE_ORDER)} FROM lineitem ORDER BY {', '.join(f'{c} DESC NULLS FIRST' if down else f'{c} NULLS FIRST' for c, down in PAGE_ORDER)} LIMIT 1000 OFFSET (SELECT count(*) * 9 // 10 FROM lineitem)",
+    "categories_first_seen": "SELECT value, row, CAST(nth AS INTEGER) AS nth FROM (SELECT trim(parts[nth + 1]) AS value, row, nth, row_number() OVER (PARTITION BY trim(parts[nth + 1]) ORDER BY row, nth) AS k FROM (SELECT row, parts, unnest(range(0, len(parts))) AS nth FROM (SELECT row_number() OVER () - 1 AS row, string_split(p_name || ' , ' || p_type || ' , ' || p_brand, ',') AS parts FROM part))) WHERE k = 1 AND value <> '' ORDER BY row, nth LIMIT 200",
     "json_arrays": "SELECT event_id, event_type, round(value, 6) AS value, json_extract_string(props, '$.k') AS k FROM events",
     "emb_hashed": "SELECT count(*) AS vectors, CAST(64 AS BIGINT) AS least_dim, CAST(64 AS BIGINT) AS most_dim, CAST(sum(CAST(NOT regexp_matches(coalesce(text, ''), '\\S') AS BIGINT)) AS BIGINT) AS not_unit FROM documents",
 }

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..operators import discovery, embed, ingest, mapview
 from ..operators.cluster_tree import cluster_tree
 from ..operators.load import Warehouse, outcome_rows
+from ..operators.pages import deep_page
 from ..operators.period_cube import PeriodCube
 from ..operators.search_index import SearchIndex
 from ..operators.timeline import PERIODS, Scope, compare, timeline
@@ -85,6 +86,20 @@ def _json_arrays(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "event_type", F.round("data.value", 6).alias("value"), F.element_at(string_map(F.col("data.props")), "k").alias("k"))
 
 
+PAGE_ORDER = [("l_quantity", True), ("l_extendedprice", True), ("l_orderkey", False), ("l_linenumber", False), ("l_partkey", False), ("l_suppkey", False), ("l_discount", False)]
+
+
+def _deep_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of 1,000 rows at nine tenths of all line items."""
+    rows = domain.table(spark, d, "lineitem").select(*[c for c, _ in PAGE_ORDER])
+    return deep_page(rows, PAGE_ORDER, rows.count() * 9 // 10, 1_000)
+
+
+def _first_seen(spark: SparkSession, d: str) -> DataFrame:
+    rows = domain.placed(spark, f"{d}/part.parquet").select(F.concat_ws(" , ", "p_name", "p_type", "p_brand").alias("categories"), "_place")
+    return mapview.first_seen(rows).select("value", F.col("place.row").alias("row"), "nth")
+
+
 def _indexed(spark: SparkSession, d: str, query: str) -> DataFrame:
     return SearchIndex.write(domain.catalogue(spark, d), fresh_dir(spark, "search-index")).search(query).select("business_id", "name", "relevance")
 
@@ -105,6 +120,8 @@ for _name in ("typo", "terms", "wildcard"):
     QUERIES[f"search_indexed_{_name}"] = partial(_indexed, query=SEARCHES[_name])
 QUERIES |= {
     "json_arrays": _json_arrays,
+    "deep_page": _deep_page,
+    "categories_first_seen": _first_seen,
     "cube_city_ratings_month": lambda s, d: _cube(s, d).timeline(Scope("city", city=CITY, state=STATE)),
     "cube_state_sentiment_month": lambda s, d: _cube(s, d).timeline(Scope("state", state=STATE), "sentiment"),
     "cube_compare_city_rating": lambda s, d: _cube(s, d).compare(BUSINESS, "city"),

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A table of Parquet files with _place, (file, row): the order in which the rows were written."""
+    rows = spark.read.parquet(*([path] if isinstance(path, str) else path))
+    return rows.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_place"))
+
+
 def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers, with nations as cities and regions as states."""
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
