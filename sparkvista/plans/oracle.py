@@ -116,3 +116,4 @@ ORACLE_SQL |= {
     "json_arrays": "SELECT event_id, event_type, round(value, 6) AS value, json_extract_string(props, '$.k') AS k FROM events",
     "emb_hashed": "SELECT count(*) AS vectors, CAST(64 AS BIGINT) AS least_dim, CAST(64 AS BIGINT) AS most_dim, CAST(sum(CAST(NOT regexp_matches(coalesce(text, ''), '\\S') AS BIGINT)) AS BIGINT) AS not_unit FROM documents",
 }
+ORACLE_SQL["viewport_stored"] = ORACLE_SQL["viewport"]

@@ -16,6 +16,7 @@ from ..operators.pages import deep_page
 from ..operators.period_cube import PeriodCube
 from ..operators.search_index import SearchIndex
 from ..operators.timeline import PERIODS, Scope, compare, timeline
+from ..operators.viewport_store import ViewportStore
 from ..sources import domain, schema
 from ..sources.readers import read_records, string_map
 from ..sources.store import fresh_dir
@@ -120,6 +121,7 @@ for _name in ("typo", "terms", "wildcard"):
     QUERIES[f"search_indexed_{_name}"] = partial(_indexed, query=SEARCHES[_name])
 QUERIES |= {
     "json_arrays": _json_arrays,
+    "viewport_stored": lambda s, d: ViewportStore.write(domain.places(s, d), fresh_dir(s, "places")).in_viewport(-10.0, -20.0, 10.0, 20.0),
     "deep_page": _deep_page,
     "categories_first_seen": _first_seen,
     "cube_city_ratings_month": lambda s, d: _cube(s, d).timeline(Scope("city", city=CITY, state=STATE)),
@@ -155,3 +157,6 @@ QUERIES |= {
     "emb_normalized": _vectors,
     "emb_hashed": lambda s, d: embed.check_vectors(embed.hashed_embedding(domain.table(s, d, "documents").select("doc_id", "text"))),
 }
+
+#: Queries whose time is mostly that of building what they read.
+BUILDS = tuple(n for n in QUERIES if n.startswith(("search_indexed_", "cube_", "load")) or n in ("json_arrays", "map_cluster_tree", "viewport_stored"))
