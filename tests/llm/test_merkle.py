@@ -57,7 +57,7 @@ def test_against_a_plain_walk(spark):
     assert Counter(got) == Counter(brute(docs.collect())) and {r[-1] for r in got} == {True, False}
 
 
-@pytest.mark.parametrize("n", [1, 2, 8, 9, 64, 65, 512, 513, 1_100])
+@pytest.mark.parametrize("n", [1, 9, 64, 513, 1_100])
 def test_sizes(spark, n):
     rows = spark.range(n).selectExpr("id AS doc_id", "'S' AS source", "if(id % 100 = 99, null, 'en') AS lang", "id AS n_chars", "concat('Text ', id) AS text", "'x' AS leaf", "'y' AS root")
     assert Counter(map(tuple, merkle.merkle_digests(rows).collect())) == Counter(brute(rows.collect()))
