@@ -63,7 +63,9 @@ def format_chats(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     role, then text, nulls first, so that ties and repeated rows have one result. A null text or role is
     empty; a null conv_id is a conversation of its own. Conversations that break the order of roles are
     formatted all the same, with is_valid false and bad_turn the place of the first turn that may not stand
-    there (-1: none; the number of turns if only the end is wrong). One shuffle, by conv_id.
+    there (-1: none; the number of turns if only the end is wrong). One shuffle, by conv_id. Very long texts and
+    conversations are whole: a conversation is one row, as its output is, and must fit a task. An empty table
+    gives an empty result.
     """
     turn = F.struct(rows["turn"].alias("turn"), rows["role"].alias("role"), rows["text"].alias("text"))
     chats = rows.groupBy(rows["conv_id"].alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
