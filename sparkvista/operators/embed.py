@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,11 +37,29 @@ def hashed_embedding(df: DataFrame, dim: int = 64) -> DataFrame:
     return rows.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_pairs", "_tokens", "_counts", "_unit")
 
 
-def encode(df: DataFrame, encoder: Encoder, batch_size: int = 1_024) -> DataFrame:
-    """df with `embedding` from a model that each worker makes once and that gets batch_size texts at a time."""
+#: Gigabytes of memory, and the texts of a batch from there on.
+BATCHES = ((15, 1_024), (12, 768), (0, 512))
+
+
+def batch_size_for(gigabytes: float) -> int:
+    """The texts that a model with so much memory gets at a time."""
+    return next(n for least, n in BATCHES if gigabytes >= least)
+
+
+def memory_here() -> float:
+    """Gigabytes of free memory of the machine a worker runs on."""
+    return os.sysconf("SC_AVPHYS_PAGES") * os.sysconf("SC_PAGE_SIZE") / 1e9
+
+
+def encode(df: DataFrame, encoder: Encoder, batch_size: int | None = None, memory: Callable[[], float] = memory_here) -> DataFrame:
+    """df with `embedding` from a model that each worker makes once and that gets batch_size texts at a time.
+
+    Without batch_size each worker chooses one by the gigabytes that `memory` finds there, such as a device's.
+    """
+    wanted = batch_size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = encoder()
+        model, batch_size = encoder(), wanted or batch_size_for(memory())
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
             parts = [model(texts[k : k + batch_size]) for k in range(0, len(texts), batch_size)]

@@ -224,6 +224,13 @@ def test_encoder_gets_batches(spark):
     assert [round(r.embedding[1] / r.embedding[0]) for r in got] == [4] * 8 + [2] * 2
 
 
+def test_batch_sizes_by_memory(spark):
+    assert [embed.batch_size_for(g) for g in (80, 15, 14.9, 12, 11, 0)] == [1_024, 1_024, 768, 768, 512, 512] and embed.memory_here() > 0
+    rows = spark.range(600).selectExpr("id review_id", "'x' text").coalesce(1)
+    got = embed.encode(rows, lambda: lambda texts: [[1.0, float(len(texts))] for _ in texts], memory=lambda: 3.0)
+    assert sorted({round(r.embedding[1] / r.embedding[0]) for r in got.collect()}) == [88, 512]
+
+
 def test_clusters_in_a_box_are_those_of_the_whole_map(spark):
     points = spark.range(3_000).selectExpr("id business_id", "sin(id) * 178 + 0.001 longitude", "cos(id * 7) * 84 + 0.001 latitude")
     for zoom in (0, 2, 5, 9):
