@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.npy import files, read_npy, write_npy
+from ..sources.store import numbered, stored
+
 METADATA = ("business_id", "stars", "sentiment", "sentiment_label", "date", "user_id")
 #: Makes a model on a worker: it takes texts and gives one vector for each.
 Encoder = Callable[[], Callable[[list[str]], list]]
@@ -88,3 +92,42 @@ def load_vectors(spark: SparkSession, path: str, rows: int | None = None, vector
     if found["vectors"] != total or found["least_dim"] != found["most_dim"] or rows not in (None, total):
         raise ValueError(f"{path} has {total} rows and {found['vectors']} vectors of {found['least_dim']} to {found['most_dim']} elements")
     return df
+
+
+def file_positions(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of Parquet files with `position`, from 0 in the order of the files' names and of the rows in each.
+
+    Files are counted first, one row for each; a row's number is its own in the file and the rows of the files before.
+    """
+    df = spark.read.parquet(path)
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = stored(rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n")).select("__file", before.alias("__before")), "files")
+    return rows.join(counts, "__file").withColumn("position", F.col("__row") + F.col("__before")).drop("__file", "__row", "__before")
+
+
+def save_aligned(df: DataFrame, path: str, order: list[str], vector: str = "embedding") -> None:
+    """Vectors as `.npy` files and all other columns as Parquet files, in the same order.
+
+    Rows are numbered in the order of columns, nulls first, equal rows in any order; a column `position` of df is
+    replaced. Metadata is written last, by ranges of positions, so that its files by name are in that order too.
+    """
+    rows = stored(numbered(df.drop("position"), order, "position"), "aligned")
+    write_npy(rows.select("position", F.col(vector).alias("embedding")), f"{path}/vectors")
+    rows.drop(vector).repartitionByRange("position").sortWithinPartitions("position").write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def load_aligned(spark: SparkSession, vectors: str, metadata: str) -> DataFrame:
+    """The metadata of each vector by position: rows of Parquet files beside those of `.npy` files, as both were saved.
+
+    Without a column `position` in the metadata the rows' places in its files count. Other numbers of rows on the two
+    sides, or positions other than one for each vector, are a ValueError.
+    """
+    meta = spark.read.parquet(metadata)
+    if "position" not in meta.columns:
+        meta = file_positions(spark, metadata)
+    rows = sum(f.rows for f in files(vectors))
+    found = meta.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("position").alias("places"), F.min("position").alias("low"), F.max("position").alias("high")).first()
+    if (found["rows"], found["places"]) != (rows, rows) or rows and (found["low"], found["high"]) != (0, rows - 1):
+        raise ValueError(f"{rows} vectors in {vectors}, and {found['rows']} rows at {found['places']} positions in {metadata}")
+    return meta.join(read_npy(spark, vectors), "position")
