@@ -109,6 +109,7 @@ ORACLE_SQL |= {
     "emb_metadata": "SELECT o_orderkey AS review_id, o_custkey AS business_id, o_totalprice AS stars, CAST(o_orderdate AS DATE) AS date FROM orders",
     "emb_alignment": f"SELECT count(embedding) AS vectors, CAST(min(len(embedding)) AS BIGINT) AS least_dim, CAST(max(len(embedding)) AS BIGINT) AS most_dim, CAST(sum(CAST(abs({_NORM} - 1) > 1e-5 AS BIGINT)) AS BIGINT) AS not_unit FROM embeddings",
     "emb_normalized": f"SELECT vec_id, dim, CAST(place AS INTEGER) AS place, CAST(CAST(e[place + 1] / norm AS FLOAT) AS DOUBLE) AS value FROM (SELECT vec_id, e, CAST(len(e) AS BIGINT) AS dim, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm, unnest(range(0, len(e))) AS place FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS e FROM embeddings))",
+    "emb_aligned": "SELECT vec_id, label, position, CAST(place AS INTEGER) AS place, CAST(embedding[place + 1] AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS position, unnest(range(0, len(embedding))) AS place FROM embeddings)",
     "load_report": f"SELECT table_name, outcome, CAST(coalesce(n, 0) AS BIGINT) AS records FROM (VALUES ('businesses'), ('photos'), ('reviews')) t(table_name) CROSS JOIN (VALUES ('inserted'), ('skipped'), ('orphaned'), ('error')) o(outcome) LEFT JOIN ({_LOADED}) USING (table_name, outcome)",
     "loaded_reviews": "SELECT CAST(o_orderkey AS VARCHAR) AS review_id, CAST(o_custkey AS VARCHAR) AS business_id, CAST(o_orderdate AS DATE) AS date, o_totalprice AS stars, 'neutral' AS sentiment_label FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)",
     "deep_page": f"SELECT {', '.join(c for c, _ in PAGE_ORDER)} FROM lineitem ORDER BY {', '.join(f'{c} DESC NULLS FIRST' if down else f'{c} NULLS FIRST' for c, down in PAGE_ORDER)} LIMIT 1000 OFFSET (SELECT count(*) * 9 // 10 FROM lineitem)",
