@@ -28,28 +28,25 @@ UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion")
 #: Every word of two letters or more that begins with a capital (Alice, McDonald, IBM), whatever stands before it; and
 #: those inside a sentence, which are surely names. An apostrophe between capitals is part of a name (O'Neil).
-_CAPITAL, _INSIDE = "\\p{Lu}(?<![\\p{L}\\p{N}].)\\p{L}+", "\\p{Lu}(?<=[\\p{Ll},;:] .)\\p{L}+"
+_CAPITAL, _INSIDE = "\\p{Lu}(?<![\\p{L}\\p{N}].)[a-z\\p{L}]+", "\\p{Lu}(?<=[\\p{Ll},;:] .)\\p{L}+"
 _APOSTROPHE, _PRIVATE = "['\u2019](?=\\p{Lu}\\p{Ll})(?<=\\p{Lu}.)", f"[{NUMBER}-{NAME}]"
 _CUT = f"[^\\p{{L}}\\p{{N}}{NUMBER}{UNIT}{NAME}]+"
 
 
 def cleaned(text: Column) -> Column:
-    """A text without the placeholders' own characters, and with names like O'Neil in one word; null is empty."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _PRIVATE, " "), _APOSTROPHE, "")
+    """A text without the placeholders' own characters, with names like O'Neil in one word, 1,234.5 as one number and 5kg as two words; null is empty."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _PRIVATE, " "), _APOSTROPHE, "")
+    return F.regexp_replace(F.regexp_replace(text, "[.,](?<=\\p{N}.)(?=\\p{N})", ""), "(\\p{N})(?=\\p{L})", "$1 ")
 
 
 def tokens(text: Column, name: str = _CAPITAL) -> tuple[Column, Column]:
     """(plain tokens in lower case, template tokens) of a cleaned text, a column of its own: two arrays of one length."""
-    # 1,234.5 is one number, 5kg a number and a unit
-    joined = F.regexp_replace(F.regexp_replace(text, "(?<=\\p{N})[.,](?=\\p{N})", ""), "(?<=\\p{N})(?=\\p{L})", " ")
-    has = text.rlike("\\p{N}")
-    plain = F.when(has, joined).otherwise(text)
-    named = F.regexp_replace(plain, name, NAME)
     units = "|".join(UNITS)
-    numbers = F.regexp_replace(F.regexp_replace(named, "\\p{N}+", NUMBER), f"(?<={NUMBER} )(?i:{units})(?![\\p{{L}}\\p{{N}}])", UNIT)
+    numbers = F.regexp_replace(F.regexp_replace(text, name, NAME), "\\p{N}+", NUMBER)
+    numbers = F.regexp_replace(numbers, f"{NUMBER} (?i:{units})(?![\\p{{L}}\\p{{N}}])", f"{NUMBER} {UNIT}")
     cut = lambda c: F.filter(F.split(F.lower(c), _CUT), lambda x: x != "")
     words = lambda x: F.when(x.isin(*NUMBER_WORDS), NUMBER).otherwise(x)
-    return cut(plain), F.transform(cut(F.when(has, numbers).otherwise(named)), words)
+    return cut(text), F.transform(cut(numbers), words)
 
 
 def _joined_hashes(codes: Column, step: int) -> Column:
