@@ -91,6 +91,21 @@ def test_a_dense_cell_meets_candidates_only(spark):
     assert {r.centre for r in ct.assign(rows, 20_000).collect()} == {0}
 
 
+def test_rounds_send_nothing_through_the_driver(spark, monkeypatch):
+    """No join of the rounds broadcasts a side; of the numbering, one row for each task."""
+    plans, stored = [], ct.stored
+
+    def kept(df, tag):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, tag)
+
+    monkeypatch.setattr(ct, "stored", kept)
+    df = spark.range(60).selectExpr("id business_id", "10 + (id * 7 % 60) / 4 longitude", "20.0 latitude")
+    plans.append(("tree", ct.cluster_tree(df, max_zoom=2)._jdf.queryExecution().executedPlan().toString()))
+    assert {"centres", "undecided", "assigned", "paths", "tree"} <= {t for t, _ in plans}
+    assert [t for t, p in plans if "Broadcast" in p and t != "leaves"] == []
+
+
 @pytest.mark.parametrize("zoom", [0, 4, 20])
 def test_reach_is_whole(zoom):
     assert ct.reach(zoom) * (ct.EXTENT << zoom) == ct.RADIUS * ct.UNITS and ct._side(ct.reach(zoom)) * 2**0.5 <= ct.reach(zoom)
