@@ -108,6 +108,16 @@ def test_search_by_index_is_search(spark, shop, tmp_path):
         assert [r.business_id for r in small.search(query).collect()] == [r.business_id for r in discovery.search(shop[0], query).collect()]
 
 
+def test_files_of_postings_follow_the_table(spark, tmp_path, monkeypatch):
+    """Their number grows with the postings, so that none grows; equal postings of a key that repeats are one."""
+    monkeypatch.setattr(search_index, "POSTINGS", 2_000, raising=False)
+    parts = domain.catalogue(spark, SF)
+    twice = parts.union(parts.withColumn("business_id", F.col("business_id") + 1_000_000)).union(parts.limit(20))
+    postings = search_index.SearchIndex.write(twice, str(tmp_path / "p"), files=2).postings
+    rows = postings.groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+    assert rows[0] < 5_000 < rows[1] / 2 and postings.distinct().count() == rows[1]
+
+
 def test_needed_trigrams():
     need = search_index.needed_trigrams
     assert need("Widget") == ["dge", "get", "idg", "wid"] and need("wi%dget") == ["dge", "get"] and need("a_b") == need("\\") == [] and need("joe's") == ["joe"] and need("ab\\%cde") == ["cde"]
