@@ -99,3 +99,11 @@ def test_no_task_reads_a_whole_array(spark, tmp_path, tiny_splits):
     rows = json_array.fragments(spark, str(tmp_path / "a.json"))
     sizes = [r[0] for r in rows.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("value") + 1)).select("sum((octet_length(value) + 1))").collect()]
     assert len(sizes) > 8 and max(sizes) < 2_000
+
+
+def test_elements_are_cut_once(spark, tmp_path):
+    """Records come from the elements that were checked: no scan of them cuts the files again."""
+    (tmp_path / "a.json").write_text(json.dumps([{"a": k} for k in range(20)]))
+    rows = readers.read_records(spark, str(tmp_path), T.StructType([T.StructField("a", T.LongType())]))
+    assert sorted(r.a for r in rows.collect()) == list(range(20))
+    assert "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString()
