@@ -167,3 +167,17 @@ def test_attention_is_causal_and_slopes_are_right():
             out.append(net.slopes(ids, target)[0])
         net.w[name][at] = kept
         assert math.isclose((out[0] - out[1]) / 2e-5, slopes[name][at], rel_tol=2e-2, abs_tol=2e-5), name
+
+
+def test_tables_give_what_each_place_gives():
+    rng = np.random.default_rng(4)
+    net = attention.Network(seed=3)
+    ids = rng.integers(0, 4_000, (5, attention.CONTEXT + attention.STRIDE))
+    ids[0, :5], ids[1, 20:] = -1, -1
+    target = rng.integers(0, attention.CLASSES, (5, attention.STRIDE))
+    zx = net.forward(ids)["zx"]
+    y = np.clip(zx @ np.vstack([net.w["o"], net.w["x"], net.w["b"]]), -1, 1) @ net.w["c"] + net.w["s"]
+    want = (y - np.log(np.exp(y).sum(1, keepdims=True)))[np.arange(len(y)), target.ravel()].reshape(target.shape) / math.log(10)
+    said = ids[:, attention.CONTEXT :] >= 0
+    for got in (net.log_classes(ids, target), net.log_classes(ids, target, net.tables())):
+        assert np.allclose(got[said], want[said], atol=1e-5)
